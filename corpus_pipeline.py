@@ -1,4 +1,8 @@
-"""Corpus pipeline: each stage is one operator of sunstack.llm, written as Parquet and reread by the next."""
+"""Corpus pipeline: each stage is one operator of sunstack.llm, written as Parquet and reread by the next.
+
+Rows that repeat an id share its verdict in a filtering stage; a null id is an id like
+any other. All but the last stage return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunstack.llm import quality
+from sunstack.llm import decontaminate, minhash, packing, quality, substring
+from sunstack.llm.queries import tokenizer
 from sunstack.llm.scratch import table
 from sunstack.llm.tables import load
 
-ORACLE_SQL: str | None = None  # the quality stage's hashed multinomials have no SQL form
+#: Hashed multinomials, tokens and packing have no SQL form; tests hold the stages against plain versions.
+ORACLE_SQL: str | None = None
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in gone."""
+    bad = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_gone"]), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.quality_rules(docs, load(spark, sf_dir, "labels"))
-    return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return _without(docs, quality.quality_rules(docs, load(spark, sf_dir, "labels")).where(~F.col("kept")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity of 0.8 or more, the smallest id stays."""
+    left = _without(docs, minhash.near_duplicates(docs, num=80, size=5).where(~F.col("kept")))
+    again = docs.groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    often = again.select(F.col("doc_id").alias("_often"))
+    return _without(left, again).unionByName(left.join(often, left["doc_id"].eqNullSafe(often["_often"]), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word runs of earlier documents (the words left, joined by spaces); texts left empty go."""
+    cut = substring.substring_dedup(docs, with_text=True).where("n_removed > 0").select(
+        F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "kept_text").distinct()
+    rows = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_d"]) & (F.xxhash64(docs["text"]) == cut["_k"]), "left")
+    text = F.coalesce("kept_text", docs["text"])
+    changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), docs["n_chars"]).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.where(F.col("kept_text").isNull() | (F.col("kept_text") != "")).select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which fewer than one window's words (8) are hit by benchmark windows."""
+    hit = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where(F.col("n_hit") >= decontaminate.WINDOW)
+    return _without(docs, hit)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.best_fit_packing(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_stage)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written and reread."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir), name)

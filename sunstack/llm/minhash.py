@@ -6,7 +6,7 @@
 2. Texts of one set form a class with the smallest id as representative; only
    representatives go on.
 3. ``BANDS`` keys of ``BINS / BANDS`` bins each make buckets. Inside a bucket, texts
-   whose signatures agree in ``AGREE`` bins or more are chained, and each chain gives
+   whose signatures agree in ``least_agreeing`` bins or more are chained, and each chain gives
    a star: every text with the chain's smallest id. Chains of all buckets make
    families, found by connected components.
 4. Inside each family the full sets are intersected exactly, and again only stars of
@@ -37,7 +37,7 @@ from . import text as T
 from .components import components
 from .scratch import table
 
-BINS, BANDS, AGREE, BLOCK = 128, 32, 80, 1000
+BINS, BANDS, BLOCK = 128, 32, 1000
 SIGNED = "doc_id bigint, n_shingles bigint, fa bigint, fb bigint, bands array<bigint>, sig binary"
 NULL_ID = -(1 << 63)
 
@@ -178,9 +178,18 @@ def _chained(n: int, near) -> Iterator[list[int]]:
         yield chain
 
 
-def _bucket_chains(rows: list[tuple]) -> Iterator[list[int]]:
-    sig = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8).reshape(len(rows), -1)
-    return _chained(len(rows), lambda i, left: (sig[left] == sig[i]).sum(axis=1) >= AGREE)
+def least_agreeing(num: int) -> int:
+    """Bins in which signatures of linked texts agree at least: seven deviations below the number expected."""
+    p = num / 100
+    return int(BINS * (p - 7 * (p * (1 - p) / BINS) ** 0.5))
+
+
+def _bucket_chains(least: int):
+    def chains(rows: list[tuple]) -> Iterator[list[int]]:
+        sig = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8).reshape(len(rows), -1)
+        return _chained(len(rows), lambda i, left: (sig[left] == sig[i]).sum(axis=1) >= least)
+
+    return chains
 
 
 def _exact_chains(num: int, size: int):
@@ -220,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = _blocked(keys.join(crowded, "key"), "key", F.col("n")).join(reps.select("doc_id", "sig"), "doc_id")
     buckets = buckets.select("key", "_i", "_j", "doc_id", "sig").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "doc_id")
-    rough = buckets.mapInArrow(lambda it: _stars(it, 3, _bucket_chains), "u bigint, v bigint")
+    near = _bucket_chains(least_agreeing(num))
+    rough = buckets.mapInArrow(lambda it: _stars(it, 3, near), "u bigint, v bigint")
 
     linked = components(rough)
     families = linked.select(F.col("u").alias("doc_id"), F.col("v").alias("family")).unionAll(linked.select("v", "v").distinct().toDF("doc_id", "family"))

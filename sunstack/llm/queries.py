@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, packing, ppm, quality, sharding, substring
+from . import chat, decontaminate, licenses, minhash, packing, ppm, quality, sharding, substring, suffix
 from .oracles import ORACLES
 from .tables import load
 
@@ -53,6 +53,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(load(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(load(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_quality_rules, op3_chat_formatting, op4_ppm_scoring, op5_wu_manber_decontamination,
-              op6_rendezvous_sharding, op7_best_fit_packing, op8_minhash_near_dedup, op10_substring_dedup)
+              op6_rendezvous_sharding, op7_best_fit_packing, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_substring_dedup)
 }
 
 

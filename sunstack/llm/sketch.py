@@ -2,13 +2,13 @@
 
 An anchor of a window is the smallest hash among the shorter runs ("grams") inside
 it, so equal windows have equal anchors and consecutive windows mostly share one.
-Every task adds its anchors to a count-min sketch of ``DEPTH`` rows and 2**``width``
+Every task adds its anchors to a count-min sketch of ``depth`` rows and 2**``width``
 cells and sends the cells that it touched; the sketches are merged cell by cell, and
 what is kept is one bit for each cell: counted at least twice. A window all of whose
 cells have the bit is estimated repeated. Counts only overestimate, so no repeated
 window is lost whatever the load; a full sketch merely lets more windows through.
 
-The merged bits have a fixed size, DEPTH * 2**width / 8 bytes, and are all that is
+The merged bits have a fixed size, depth * 2**width / 8 bytes, and are all that is
 broadcast.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from . import text as T
 
 WIDTH, DEPTH, CHUNK = 26, 3, 22
-CELLS = "chunk int, once binary, more binary"
+CELLS = "chunk int, once binary, more binary"  # cells of a chunk touched once, more often
 BITS = "chunk int, bits binary"
 
 
@@ -43,12 +43,25 @@ def distinct_runs(anchor: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.
     return a[new]
 
 
-def cells(anchor: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+def cells(anchor: np.ndarray, width: int, depth: int) -> Iterator[np.ndarray]:
     """Cell of each anchor in every row of the sketch."""
-    return [(T.mix(anchor, 11 + r) >> T.U64(64 - width)).astype(np.int64) for r in range(DEPTH)]
+    for r in range(depth):
+        yield (T.mix(anchor, 11 + r) >> T.U64(64 - width)).astype(np.int64)
 
 
-def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], width: int = WIDTH) -> DataFrame:
+def _pack(cell: np.ndarray, chunk: int) -> bytes:
+    """Sorted cells of a chunk as 16-bit rests after the number of cells of each 2**16."""
+    counts = np.diff(np.searchsorted(cell >> 16, np.arange((1 << max(0, chunk - 16)) + 1)))
+    return counts.astype(np.uint32).tobytes() + (cell & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def _unpack(packed: bytes, chunk: int) -> np.ndarray:
+    n = 1 << max(0, chunk - 16)
+    counts = np.frombuffer(packed, np.uint32, n)
+    return (np.repeat(np.arange(n), counts) << 16) | np.frombuffer(packed, np.uint16, offset=4 * n).astype(np.int64)
+
+
+def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """Merged sketch of the anchors that ``of_batch`` finds in each batch of docs: rows (chunk, bits)."""
     chunk = min(CHUNK, width)
     per_row = 1 << (width - chunk)
@@ -56,14 +69,14 @@ def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], wid
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [of_batch(b) for b in T.slices(batches, "text")]
         every = np.concatenate(found) if found else np.zeros(0, T.U64)
-        for r, own in enumerate(cells(every, width)):
+        for r, own in enumerate(cells(every, width, depth)):
             cell, n = np.unique(own, return_counts=True)
             cuts = np.searchsorted(cell, np.arange(per_row + 1) << chunk)
             for k in range(per_row):
                 c, m = cell[cuts[k] : cuts[k + 1]] & ((1 << chunk) - 1), n[cuts[k] : cuts[k + 1]]
                 if len(c):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r * per_row + k], pa.int32()), pa.array([c[m == 1].astype(np.uint32).tobytes()], pa.binary()), pa.array([c[m > 1].astype(np.uint32).tobytes()], pa.binary())],
+                        [pa.array([r * per_row + k], pa.int32()), pa.array([_pack(c[m == 1], chunk)], pa.binary()), pa.array([_pack(c[m > 1], chunk)], pa.binary())],
                         names=["chunk", "once", "more"],
                     )
 
@@ -79,7 +92,7 @@ def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], wid
                     if now is not None:
                         yield out()
                     now, seen, twice = k, np.zeros(1 << chunk, bool), np.zeros(1 << chunk, bool)
-                one, two = np.frombuffer(once, np.uint32), np.frombuffer(more, np.uint32)
+                one, two = _unpack(once, chunk), _unpack(more, chunk)
                 twice[one[seen[one]]] = True
                 twice[two] = True
                 seen[one] = seen[two] = True
@@ -89,9 +102,9 @@ def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], wid
     return docs.mapInArrow(partial, CELLS).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, BITS)
 
 
-def share(sketch: DataFrame, width: int = WIDTH) -> Broadcast:
-    """The merged bits as a broadcast of DEPTH * 2**width / 8 bytes."""
-    size = DEPTH << (width - 3)
+def share(sketch: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Broadcast:
+    """The merged bits as a broadcast of depth * 2**width / 8 bytes."""
+    size = depth << (width - 3)
     chunk = 1 << (min(CHUNK, width) - 3)
     bits = np.zeros(size, np.uint8)
     for row in sketch.toLocalIterator():
@@ -99,10 +112,10 @@ def share(sketch: DataFrame, width: int = WIDTH) -> Broadcast:
     return sketch.sparkSession.sparkContext.broadcast(bits)
 
 
-def repeated(anchor: np.ndarray, bits: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def repeated(anchor: np.ndarray, bits: np.ndarray, width: int = WIDTH, depth: int = DEPTH) -> np.ndarray:
     """True where every cell of an anchor was counted at least twice."""
     ok = np.ones(len(anchor), bool)
-    for r, own in enumerate(cells(anchor, width)):
+    for r, own in enumerate(cells(anchor, width, depth)):
         at = own + (r << width)
         ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return ok
