@@ -221,13 +221,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = table(sign(base, size), "signed")
     classes = signed.where("n_shingles > 0").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = table(signed.select("doc_id", "n_shingles", "fa", "fb").join(classes, ["fa", "fb", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
+    members = table(signed.select("doc_id", "n_shingles", "fa", "fb").join(classes.hint("merge"), ["fa", "fb", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
     alone = members.where(F.col("rep") == F.col("doc_id")).select("doc_id").distinct()
-    reps = signed.join(alone, "doc_id", "left_semi")
+    # Merge joins at every size: a side that grows with the corpus is never broadcast, however small it is today.
+    reps = signed.join(alone.hint("merge"), "doc_id", "left_semi")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = _blocked(keys.join(crowded, "key"), "key", F.col("n")).join(reps.select("doc_id", "sig"), "doc_id")
+    buckets = _blocked(keys.join(crowded.hint("merge"), "key"), "key", F.col("n")).join(reps.select("doc_id", "sig").hint("merge"), "doc_id")
     buckets = buckets.select("key", "_i", "_j", "doc_id", "sig").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "doc_id")
     near = _bucket_chains(least_agreeing(num))
     rough = buckets.mapInArrow(lambda it: _stars(it, 3, near), "u bigint, v bigint")
@@ -235,12 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(rough)
     families = linked.select(F.col("u").alias("doc_id"), F.col("v").alias("family")).unionAll(linked.select("v", "v").distinct().toDF("doc_id", "family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    placed = _blocked(families.join(sizes, "family"), "family", F.col("n"))
-    texts = placed.join(base, "doc_id").select("family", "_i", "_j", "doc_id", "text").repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j", "doc_id")
+    placed = _blocked(families.join(sizes.hint("merge"), "family"), "family", F.col("n"))
+    texts = placed.join(base.hint("merge"), "doc_id").select("family", "_i", "_j", "doc_id", "text").repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j", "doc_id")
     exact = _exact_chains(num, size)
     roots = components(texts.mapInArrow(lambda it: _stars(it, 3, exact), "u bigint, v bigint"))
 
-    told = members.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("_root")), "rep", "left")
+    told = members.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("_root")).hint("merge"), "rep", "left")
     component = F.coalesce("_root", "rep", "doc_id")
     back = lambda c: F.when(c != NULL_ID, c)
     return told.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
