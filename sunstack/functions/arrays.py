@@ -157,7 +157,7 @@ def bit_count(v: Column) -> Column:
 
 
 def next_power_of_two(v: Column) -> Column:
-    return F.when(v <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1), F.ceil(F.log2(v)).cast("int")))
+    return F.when(v <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(v))).cast("int"))
 
 
 def lowest_set_bit(v: Column) -> Column:
