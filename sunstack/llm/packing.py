@@ -10,7 +10,8 @@ taken, the fullest open sequence closes first. Full sequences close at once.
 
 The tokenizer works on words of the text: its normaliser and splitter never look
 across ASCII white space, so the ids of a text are the ids of its words in order.
-Ids of words are kept in a bounded memo, as little-endian bytes.
+Ids of words are kept in a bounded memo, as little-endian bytes; a batch's new words are
+encoded in one call.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed as
 documents of their own; very long texts are cut into full pieces and a rest; an
@@ -20,16 +21,20 @@ empty table gives an empty result. Only id and text are read.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import table
+from .text import slices
 
-CAPACITY, OPEN_BINS, END_ID, MEMO, PIECES_A_TASK = 2048, 512, 0, 400_000, 500_000
+CAPACITY, OPEN_BINS, END_ID, MEMO, PIECES_A_TASK = 2048, 512, 0, 1_200_000, 500_000
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
 
@@ -77,39 +82,52 @@ class Packer:
 
 
 class WordIds:
-    """Token ids of words as little-endian 32-bit bytes, with a bounded memo."""
+    """Token ids of words as little-endian 32-bit bytes, with a bounded memo; when it is full, the words met in one batch only are dropped."""
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, memo
-
-    def of(self, text: str) -> bytes:
-        memo, words = self.memo, text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, coded, strict=True))
-        return b"".join([memo[w] for w in words])
+        self.tokenizer, self.memo, self.young, self.most = Tokenizer.from_file(path), {}, set(), memo
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text of a batch."""
+        memo = self.memo
+        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        every = set().union(*words)
+        new = list(every - memo.keys())
+        self.young -= every
+        for a in range(0, len(new), 10_000):
+            part = new[a : a + 10_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            memo.update(zip(part, [array("I", e.ids).tobytes() for e in coded], strict=True))
+        self.young.update(new)
+        out = [b"".join([memo[w] for w in own]) for own in words]
+        if len(memo) > self.most:
+            for w in self.young:
+                del memo[w]
+            self.young = set()
+            if len(memo) > self.most // 2:
+                memo.clear()
+        return out
+
+
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> WordIds:
+    """One coder for each Python worker: its memo outlives the task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordIds(tokenizer), END_ID.to_bytes(4, "little")
-        for batch in batches:
+        coder, end = coder_of(tokenizer), END_ID.to_bytes(4, "little")
+        for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.of(text.as_py() or "") + end
+            coded = coder.of([t or "" for t in batch.column("text").to_pylist()])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -119,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(cut, PIECE_SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:

@@ -191,7 +191,7 @@ def test_word_ids_equal_the_ids_of_whole_texts():
     letters = "aAÉé̈ñ'sΣς \n\t  　\x1c\x85<|endoftext|>09ß🙂‍"
     for _ in range(400):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(40))) + rng.choice(["", "<|endoftext|>x", " it's"])
-        assert own.of(text) == np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.of([text, ""]) == [np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
 
 
 def test_chat_round_trip(spark):
