@@ -1 +1 @@
-
+"""Structured Streaming forms of frame ingest and stacking."""
