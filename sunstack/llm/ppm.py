@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import table
 
-ORDER, CONTEXTS, BLOCK_BYTES, HELD_OUT, FOLDS = 3, 16_384, 16 << 20, 2, 7
+ORDER, CONTEXTS, BLOCK_BYTES, HELD_OUT, FOLDS = 3, 16_384, 24 << 20, 2, 7
 END = b""  # no word is empty
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 ENCODED = "block string, word binary, number int, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, score double"
@@ -182,6 +182,15 @@ def train(rows: DataFrame, contexts: int = CONTEXTS) -> Trie:
     return Trie(g, c, np.unique(lg >> 8), lg, lc)
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """A bag of word numbers in few bytes: sorted, as differences, deflated. The base score doesn't depend on order."""
+    return zlib.compress(np.diff(np.sort(numbers), prepend=np.int32(0)).astype(np.uint32).tobytes(), 1)
+
+
+def unsqueeze(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
+
+
 def encode(rows: DataFrame, model: Broadcast) -> DataFrame:
     """Documents and vocabularies by block: rows (block, doc_id, ids, score) and rows (block, word, number, seen in training)."""
 
@@ -199,7 +208,7 @@ def encode(rows: DataFrame, model: Broadcast) -> DataFrame:
                 away = held_out(doc)
                 if not away:
                     np.add.at(seen, own, 1)
-                docs.append(doc), ids.append(own.tobytes()), tokens.append(len(own)), out.append(away)
+                docs.append(doc), ids.append(squeeze(own)), tokens.append(len(own)), out.append(away)
         words = list(number)
         n, m = len(words), len(docs)
         yield pa.RecordBatch.from_arrays(
@@ -221,7 +230,7 @@ def encode(rows: DataFrame, model: Broadcast) -> DataFrame:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in T.slices(batches, "text"):
             held.append(batch)
-            size += batch.get_total_buffer_size()
+            size += batch.nbytes
             if size > BLOCK_BYTES:
                 yield from pack(f"{part}-{number}", held, trie)
                 number, held, size = number + 1, [], 0
@@ -249,7 +258,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conte
         c[number] = right.column("c").to_numpy()
         out: list[list[np.ndarray]] = [[], []]
         for ids in left.column("ids").to_pylist():
-            own = np.frombuffer(ids, np.int32)
+            own = unsqueeze(ids)
             own = c[own[own < len(c)]]
             own = own[own > 0]
             out[0].append(len(own))
