@@ -52,7 +52,7 @@ def value_text(v: bool | int | float | str) -> str:
 def make_cards(key: str, v: bool | int | float | str, comment: str = "", long: bool = True) -> list[str]:
     """A card, or with CONTINUE several for a long string; keys of other characters than A-Z, 0-9, - and _ are an error."""
     name = key[:8].upper()
-    if not re.fullmatch(r"[A-Z0-9_-]+", name):
+    if not key.isascii() or not re.fullmatch(r"[A-Z0-9_-]+", name):
         raise ValueError(f"bad card key {key!r}")
     text = value_text(v)
     if len(text) > CARD - 10 and isinstance(v, str):
