@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames, scalars, series
+from . import frames, images, scalars, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (frames, series, scalars):
+for _module in (frames, series, scalars, images):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
