@@ -147,6 +147,7 @@ def segment(first: int, last: int, length: int, least_overlap: int) -> list[int]
     """Start positions of overlapping segments over first..last: evenly spread, truncated, two at least unless first equals last."""
     if first == last:
         return [first]
+    first, last = min(first, last), max(first, last)
     step = length - least_overlap
     n = max(2, int(-(-(last - first) // step)) + 1 if step > 0 else 2)
     return [int(first + i * (last - first) / (n - 1)) for i in range(n)]

@@ -15,7 +15,8 @@ def value_text(v: Column, kind: str) -> Column:
     if kind == "boolean":
         return F.lpad(F.when(v, "T").otherwise("F"), 20, " ")
     if kind == "string":
-        return F.concat(F.lit("'"), F.rpad(F.replace(v, F.lit("'"), F.lit("''")), 8, " "), F.lit("'"))
+        text = F.replace(v, F.lit("'"), F.lit("''"))
+        return F.concat(F.lit("'"), F.rpad(text, F.greatest(F.length(text), F.lit(8)), F.lit(" ")), F.lit("'"))
     if kind == "timestamp":
         return F.concat(F.lit("'"), F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("'"))
     return F.lpad(v.cast("string"), 20, " ")

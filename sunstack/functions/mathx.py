@@ -24,9 +24,10 @@ def gauss2d(y: Column, x: Column, fwhm_y: float, fwhm_x: float, cy: float = 0.0,
     return gauss(y, fwhm_y, cy) * gauss(x, fwhm_x, cx)
 
 
-def lorentz(x: Column, fwhm: float, centre: float = 0.0) -> Column:
-    g = fwhm / 2.0
-    return (g * g) / ((x - centre) * (x - centre) + g * g)
+def lorentz(x: Column, fwhm: float, centre: float = 0.0, cavities: float = 1.0) -> Column:
+    """Lorentz profile of height 1; more cavities make the flat-topped profile of a prefilter."""
+    d2 = (x - centre) * (x - centre) * (4.0 / (fwhm * fwhm))
+    return 1.0 / ((d2 if cavities == 1.0 else F.pow(d2, F.lit(cavities))) + 1.0)
 
 
 def cauchy(x: Column, fwhm: float, centre: float = 0.0) -> Column:
@@ -34,8 +35,14 @@ def cauchy(x: Column, fwhm: float, centre: float = 0.0) -> Column:
     return lorentz(x, fwhm, centre) * (2.0 / (math.pi * fwhm))
 
 
+def apodize(first: float, target: float, i: Column, n: int) -> Column:
+    """Cosine passage from the first value to the target over n samples."""
+    return 0.5 * (first + target) + 0.5 * (first - target) * F.cos(F.lit(math.pi) * i / (n - 1))
+
+
 def hann(i: Column, n: int) -> Column:
-    return 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * i / (n - 1))
+    """Rise from 0 to 1 over n samples."""
+    return 0.5 - 0.5 * F.cos(F.lit(math.pi) * i / (n - 1))
 
 
 def n_choose_k(n: Column, k: Column) -> Column:
@@ -59,13 +66,13 @@ def cf2pix(arcsec_per_pixel: float, diameter: float) -> float:
     return 1.0 / pix2cf(arcsec_per_pixel, diameter)
 
 
-def def2cf(defocus: float, focal_ratio: float) -> float:
-    """Defocus distance to coefficient: pi d / (8 sqrt(3) F**2)."""
-    return math.pi * defocus / (8.0 * math.sqrt(3.0) * focal_ratio * focal_ratio)
+def def2cf(ratio: float) -> float:
+    """Defocus in metres to coefficient, for an aperture ratio: -pi r**2 / (8 sqrt 3)."""
+    return -math.pi * ratio * ratio / (8.0 * math.sqrt(3.0))
 
 
-def cf2def(coefficient: float, focal_ratio: float) -> float:
-    return coefficient * 8.0 * math.sqrt(3.0) * focal_ratio * focal_ratio / math.pi
+def cf2def(ratio: float) -> float:
+    return 1.0 / def2cf(ratio)
 
 
 def noll_n(j: Column) -> Column:

@@ -97,15 +97,14 @@ def bit_string(v: Column, bits: int) -> Column:
 
 
 def str_to_ints(s: Column) -> Column:
-    """"1-3,7,10:2:16" to integers: lists by comma or blank, a-b, a:b, a:step:b, a-b:step; ranges may run downwards."""
+    """"1-3,7,10:2:16" to integers: lists by comma or blank, a-b, a:b and a:step:b; a downward range is the upward one reversed."""
     def one(part: Column) -> Column:
-        ends = F.regexp_extract_all(part, F.lit("([0-9]+)"), 1)
-        num = lambda i: F.get(ends, i).cast("bigint")
-        three = F.when(part.rlike("^[0-9]+:[0-9]+:[0-9]+$"), F.struct(num(0).alias("a"), num(2).alias("b"), num(1).alias("s"))).when(
-            part.rlike("^[0-9]+-[0-9]+:[0-9]+$"), F.struct(num(0).alias("a"), num(1).alias("b"), num(2).alias("s"))).otherwise(
-            F.struct(num(0).alias("a"), F.coalesce(num(1), num(0)).alias("b"), F.lit(1).cast("bigint").alias("s")))
-        step = F.greatest(three["s"], F.lit(1).cast("bigint"))
-        return F.sequence(three["a"], three["b"], F.when(three["b"] >= three["a"], step).otherwise(-step))
+        n = F.regexp_extract_all(part, F.lit("([0-9]+)"), 1)
+        num = lambda i: F.get(n, i).cast("bigint")
+        stepped = part.rlike("^[0-9]+:[0-9]+:[0-9]+$")
+        a, b = num(0), F.when(stepped, num(2)).otherwise(F.coalesce(num(1), num(0)))
+        up = F.sequence(F.least(a, b), F.greatest(a, b), F.when(stepped, F.greatest(num(1), F.lit(1).cast("bigint"))).otherwise(F.lit(1).cast("bigint")))
+        return F.when(a > b, F.reverse(up)).otherwise(up)
 
     parts = F.filter(F.split(F.trim(s), "[, ]+"), lambda p: p.rlike("^[0-9][0-9:-]*$"))
     return F.flatten(F.transform(parts, one))
@@ -123,7 +122,10 @@ def template(df: DataFrame, text: str, split: str = "_") -> DataFrame:
     """One row (template, values): segments that vary become %1, %2 ...; values lists what each stood for.
 
     Segments are grouped by position, so the number of texts is no limit."""
-    parts = df.select(F.posexplode(F.split(text, re.escape(split))).alias("pos", "part"))
+    own = F.split(text, re.escape(split))
+    first = df.select(F.min(F.struct(F.col(text).alias("t"), F.size(own).alias("n"))).alias("f")).select(F.col("f.n").alias("_n"))
+    same = df.join(F.broadcast(first), F.size(own) == F.col("_n"))  # one row; texts of another number of segments don't count
+    parts = same.select(F.posexplode(own).alias("pos", "part"))
     kinds = parts.groupBy("pos").agg(F.array_sort(F.collect_set("part")).alias("kinds"))
     rows = kinds.agg(F.array_sort(F.collect_list(F.struct("pos", "kinds"))).alias("s"))
     varies = F.filter("s", lambda x: F.size(x["kinds"]) > 1)
@@ -153,23 +155,17 @@ def print_array(v: Column, sep: str = ", ") -> Column:
 
 def uints_to_text(numbers: Iterable[int]) -> str:
     """The driver-side form of ``ints_to_str``."""
-    out: list[str] = []
-    own = sorted(set(numbers))
-    i = 0
+    own, out, i = sorted(set(numbers)), [], 0
     while i < len(own):
-        j = i
-        if i + 1 < len(own):
-            step = own[i + 1] - own[i]
-            j = i + 1
-            while j + 1 < len(own) and own[j + 1] - own[j] == step:
-                j += 1
-        if j == i:
-            out.append(str(own[i]))
-        elif j == i + 1:
-            out += [str(own[i]), str(own[j])]
+        j, step = i, own[i + 1] - own[i] if i + 1 < len(own) else 0
+        while j + 1 < len(own) and own[j + 1] - own[j] == step:
+            j += 1
+        if j - i >= 2:
+            out.append(f"{own[i]}-{own[j]}" if step == 1 else f"{own[i]}:{step}:{own[j]}")
+            i = j + 1
         else:
-            out.append(f"{own[i]}-{own[j]}" + (f":{step}" if step != 1 else ""))
-        i = j + 1
+            out.append(str(own[i]))
+            i += 1
     return ",".join(out)
 
 
@@ -180,12 +176,8 @@ def text_to_uints(text: str) -> list[int]:
         if not re.fullmatch(r"[0-9][0-9:-]*", part):
             continue
         n = [int(x) for x in re.findall(r"\d+", part)]
-        if re.fullmatch(r"\d+:\d+:\d+", part):
-            a, s, b = n
-        elif re.fullmatch(r"\d+-\d+:\d+", part):
-            a, b, s = n
-        else:
-            a, b, s = n[0], n[-1], 1
-        s = max(1, s)
-        out += range(a, b + 1, s) if b >= a else range(a, b - 1, -s)
+        stepped = re.fullmatch(r"\d+:\d+:\d+", part)
+        a, b, step = (n[0], n[2], max(1, n[1])) if stepped else (n[0], n[-1], 1)
+        own = list(range(min(a, b), max(a, b) + 1, step))
+        out += own[::-1] if a > b else own
     return out

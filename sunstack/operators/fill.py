@@ -25,12 +25,15 @@ def inverse_distance_fill(pixels: DataFrame, keys: list[str], reach: int = 64, t
     return out.withColumn("v", F.when(bad, F.coalesce("filled", F.lit(0.0))).otherwise(F.col("v"))).drop("filled")
 
 
-def horizontal_fill(pixels: DataFrame, keys: list[str], threshold: float = 1e-3) -> DataFrame:
-    """Replace bad pixels from two good pixels on each side of their row: cubic through both pairs; null where a neighbour is missing or bad."""
+def horizontal_fill(pixels: DataFrame, keys: list[str], reach: int = 64, threshold: float = 1e-3) -> DataFrame:
+    """Replace bad pixels from their row: the mean of both neighbours, or a neighbour and the second pixel of the other side, linearly; else by inverse distance."""
     w = Window.partitionBy(*keys, "y").orderBy("x")
-    ok = lambda c: F.when(c > threshold, c)
-    l1, l2, r1, r2 = (ok(f("v", k).over(w)) for f, k in ((F.lag, 1), (F.lag, 2), (F.lead, 1), (F.lead, 2)))
-    return pixels.withColumn("filled", F.when(F.col("v") <= threshold, (4 * (l1 + r1) - l2 - r2) / 6))
+    ok = lambda f, k: F.when(f("v", k).over(w) > 0, f("v", k).over(w))
+    l1, l2, r1, r2 = ok(F.lag, 1), ok(F.lag, 2), ok(F.lead, 1), ok(F.lead, 2)
+    row = F.coalesce((l1 + r1) / 2, (l2 + 2 * r1) / 3, (2 * l1 + r2) / 3)
+    near = inverse_distance_fill(pixels, keys, reach, threshold).withColumnRenamed("v", "_near")
+    out = pixels.withColumn("_row", row).join(near.select(*keys, "y", "x", "_near"), [*keys, "y", "x"])
+    return out.withColumn("filled", F.when(F.col("v") <= threshold, F.coalesce("_row", "_near"))).drop("_row", "_near")
 
 
 def box_smooth(pixels: DataFrame, keys: list[str], ny: int, nx: int) -> DataFrame:

@@ -114,9 +114,11 @@ def idw_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill.inverse_distance_fill(p, ["frame_no"], reach=3).withColumn("v", r("v"))
 
 
-@query(f"""WITH {PX}, {YX}, s AS (SELECT frame_no, y, x, CASE WHEN v < 0.9 THEN 0 ELSE v END AS v FROM yx), g AS (SELECT *, CASE WHEN v > 0.001 THEN v END AS o FROM s),
-w AS (SELECT *, lag(o) OVER w AS l1, lag(o, 2) OVER w AS l2, lead(o) OVER w AS r1, lead(o, 2) OVER w AS r2 FROM g WINDOW w AS (PARTITION BY frame_no, y ORDER BY x))
-SELECT frame_no, y, x, round(v, 6) AS v, round(CASE WHEN v <= 0.001 THEN (4 * (l1 + r1) - l2 - r2) / 6 END, 6) AS filled FROM w""")
+@query(f"""WITH {PX}, {YX}, s AS (SELECT frame_no, y, x, CASE WHEN v < 0.9 THEN 0 ELSE v END AS v FROM yx), g AS (SELECT *, CASE WHEN v > 0 THEN v END AS o FROM s),
+w AS (SELECT *, lag(o) OVER w AS l1, lag(o, 2) OVER w AS l2, lead(o) OVER w AS r1, lead(o, 2) OVER w AS r2 FROM g WINDOW w AS (PARTITION BY frame_no, y ORDER BY x)), h AS (
+SELECT a.frame_no, a.y, a.x, sum(b.v / pow((a.y - b.y) ** 2 + (a.x - b.x) ** 2 + 4, 2)) / sum(1 / pow((a.y - b.y) ** 2 + (a.x - b.x) ** 2 + 4, 2)) AS near
+FROM s a JOIN s b ON a.frame_no = b.frame_no WHERE a.v <= 0.001 AND b.v > 0.001 GROUP BY ALL)
+SELECT w.frame_no, w.y, w.x, round(v, 6) AS v, round(CASE WHEN v <= 0.001 THEN coalesce((l1 + r1) / 2, (l2 + 2 * r1) / 3, (2 * l1 + r2) / 3, near) END, 6) AS filled FROM w LEFT JOIN h USING (frame_no, y, x)""")
 def horint_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(frames(spark, sf_dir)).select("frame_no", "y", "x", F.when(F.col("v") < 0.9, 0.0).otherwise(F.col("v")).alias("v"))
     return fill.horizontal_fill(p, ["frame_no"]).select("frame_no", "y", "x", r("v").alias("v"), r("filled").alias("filled"))

@@ -70,7 +70,7 @@ def string_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         strings.hex_string(key, 6).alias("hex"), strings.bit_string(key, 16).alias("bits"), strings.align_center(seg, 20, ".").alias("centred"))
 
 
-@query("""SELECT i::INT AS i, round(0.5 - 0.5 * cos(2 * pi() * i / 63), 6) AS hann, round(exp(-((i - 32) * (i - 32)) / (2 * pow(12 / (2 * sqrt(2 * ln(2))), 2))), 6) AS gauss, round(36 / ((i - 32) * (i - 32) + 36), 6) AS lorentz,
+@query("""SELECT i::INT AS i, round(0.5 - 0.5 * cos(pi() * i / 63), 6) AS hann, round(exp(-((i - 32) * (i - 32)) / (2 * pow(12 / (2 * sqrt(2 * ln(2))), 2))), 6) AS gauss, round(36 / ((i - 32) * (i - 32) + 36), 6) AS lorentz,
 round(0.5 - 0.5 * cos(pi() * (i + 1) / 65), 6) AS ramp FROM (SELECT unnest(range(64)) AS i)""")
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
