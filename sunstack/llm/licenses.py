@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import table
+
 THRESHOLD = 0.6
 SPLIT = "[^a-z0-9.+]+"
 LICENCE_FILE = r"^(licen[cs]e|copying|copyright|unlicense)([.-].*)?$"
@@ -99,6 +101,7 @@ def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, thre
     lines = base.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.where(F.lower("content").rlike("|".join(sorted(t.replace(".", r"\.").replace("+", r"\+") for t in signal))))
     lines = lines.select("doc_id", "path", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", marks))
+    lines = table(lines, "lines")  # few are left, and two aggregates read them
     size = F.aggregate(F.col("terms"), F.lit(0.0), lambda a, t: a + F.when(t.isin(sorted(idf)), 0.0).otherwise(other * other))
     words = lines.select("doc_id", "path", "line", size.alias("rest"), F.explode("terms").alias("term")).join(F.broadcast(weights), "term")
     known = words.groupBy("doc_id", "path", "line").agg((F.first("rest") + F.sum(F.col("w") * F.col("w"))).alias("norm2"))
