@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import table
 
-ORDER, CONTEXTS, BLOCK_BYTES, HELD_OUT, FOLDS = 3, 16_384, 24 << 20, 2, 7
+ORDER, CONTEXTS, BLOCK_BYTES, HELD_OUT, FOLDS = 3, 16_384, 8 << 20, 2, 7
 END = b""  # no word is empty
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 ENCODED = "block string, word binary, number int, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, score double"
