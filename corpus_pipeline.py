@@ -22,7 +22,7 @@ ORACLE_SQL: str | None = None
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but for those whose doc_id is in gone."""
-    bad = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    bad = gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge")  # it grows with the corpus, so it is never broadcast
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_gone"]), "left_anti")
 
 
@@ -44,7 +44,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word runs of earlier documents (the words left, joined by spaces); texts left empty go."""
     cut = substring.substring_dedup(docs, with_text=True).where("n_removed > 0").select(
-        F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "kept_text").distinct()
+        F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "kept_text").distinct().hint("merge")
     rows = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_d"]) & (F.xxhash64(docs["text"]) == cut["_k"]), "left")
     text = F.coalesce("kept_text", docs["text"])
     changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), docs["n_chars"]).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
