@@ -48,8 +48,8 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
     return px.astype(px.dtype.newbyteorder("=")), head
 
 
-def encode(px: np.ndarray, text: str = "", low_bits: int | None = None, big: bool = False) -> bytes:
-    """A file of an array: raw, or difference-sliced with ``low_bits`` for 8, 16 and 32-bit integers."""
+def encode(px: np.ndarray, text: str = "", low_bits: int | None = None, big: bool = False, runs: bool = False) -> bytes:
+    """A file of an array: raw, or difference-sliced with ``low_bits`` for 8, 16 and 32-bit integers (with marked runs for 8 and 16 bits)."""
     kind = next((k for k, t in TYPES.items() if np.dtype(t) == px.dtype.newbyteorder("=")), None)
     if kind is None:
         raise ValueError(f"ANA has no type for {px.dtype}")
@@ -63,8 +63,8 @@ def encode(px: np.ndarray, text: str = "", low_bits: int | None = None, big: boo
     head[BLOCK - TEXT : BLOCK - TEXT + len(raw)] = raw
     if low_bits is None:
         return bytes(head) + px.astype(px.dtype.newbyteorder(">" if big else "<")).tobytes()
-    codec = {0: 1, 1: 0, 2: 4}.get(kind)
+    codec = ({0: 3, 1: 2} if runs else {0: 1, 1: 0, 2: 4}).get(kind)
     if codec is None:
-        raise ValueError("only integers of up to 32 bits can be compressed")
+        raise ValueError("only integers of up to 32 bits (16 with runs) can be compressed")
     body = slice_encode(px.reshape(-1, px.shape[-1]), low_bits, codec)
     return bytes(head) + COMPRESSED_HEADER.pack(COMPRESSED_HEADER.size + len(body), px.size // px.shape[-1], px.shape[-1], low_bits, codec) + body

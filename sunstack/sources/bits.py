@@ -4,67 +4,101 @@ from __future__ import annotations
 
 import numpy as np
 
-#: bytes of a value, bits of a long difference
-SLICE_KINDS = {0: (2, 17), 1: (1, 9), 4: (4, 33)}
-LONG = 32
+#: bytes of a value, bits of a long difference, whether runs of one difference are marked
+SLICE_KINDS = {0: (2, 17, False), 1: (1, 9, False), 2: (2, 17, True), 3: (1, 9, True), 4: (4, 33, False)}
+LONG, LONGEST_RUN, LONGEST_LITERAL = 32, 129, 127
 
 
-def slice_decode(data: bytes, h: int, w: int, low_bits: int, kind: int = 0) -> np.ndarray:
-    """Rows of differences: a raw first value, then for each pixel ``low_bits`` bits and a unary count k.
+class _Bits:
+    """A cursor over bits, least bit of each byte first."""
 
-    Odd k adds (k div 2) * 2**low_bits, even k takes k/2 of it off, k = 32 announces a raw difference; rows begin on bytes."""
-    size, long_bits = SLICE_KINDS[kind]
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    ones = np.flatnonzero(bits)
-    out = np.zeros((h, w), np.int64)
-    at = 0
+    def __init__(self, data: bytes) -> None:
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+        self.ones = np.flatnonzero(self.bits)
+        self.at = 0
+
+    def take(self, n: int, signed: bool = False) -> int:
+        v = int.from_bytes(np.packbits(self.bits[self.at : self.at + n], bitorder="little").tobytes(), "little")
+        self.at += n
+        return v - (1 << n) if signed and v >> (n - 1) else v
 
-    def number(start: int, n: int) -> int:
-        return int.from_bytes(np.packbits(bits[start : start + n], bitorder="little").tobytes(), "little")
+    def unary(self) -> int:
+        """Bits up to the next set one, which counts."""
+        k = int(self.ones[np.searchsorted(self.ones, self.at)]) - self.at + 1
+        self.at += k
+        return k
 
-    def signed(v: int, n: int) -> int:
-        return v - (1 << n) if v >> (n - 1) else v
+    def align(self) -> None:
+        self.at = -(-self.at // 8) * 8
+
+    def difference(self, low_bits: int, long_bits: int) -> int:
+        low, k = self.take(low_bits) if low_bits else 0, self.unary()
+        if k == LONG:
+            return self.take(long_bits, True)
+        return low + ((k // 2 if k & 1 else -(k // 2)) << low_bits)
+
+
+def slice_decode(data: bytes, h: int, w: int, low_bits: int, kind: int = 0) -> np.ndarray:
+    """Rows of differences: a raw first value, then for each pixel ``low_bits`` bits and a unary count k.
 
+    Odd k adds (k div 2) * 2**low_bits, even k takes k/2 of it off, k = 32 announces a raw difference; rows begin on bytes.
+    Kinds with runs put a byte before each stretch: n < 128 for n differences, 257 - n for n pixels of one 16-bit difference."""
+    size, long_bits, runs = SLICE_KINDS[kind]
+    cursor = _Bits(data)
+    out = np.zeros((h, w), np.int64)
     for y in range(h):
-        value = signed(number(at, 8 * size), 8 * size) if size > 1 else number(at, 8)
-        at += 8 * size
-        out[y, 0] = value
-        for x in range(1, w):
-            low = number(at, low_bits) if low_bits else 0
-            at += low_bits
-            k = int(ones[np.searchsorted(ones, at)]) - at + 1
-            at += k
-            if k == LONG:
-                value += signed(number(at, long_bits), long_bits)
-                at += long_bits
+        row = [cursor.take(8 * size, size > 1)]
+        if not runs:
+            row += [cursor.difference(low_bits, long_bits) for _ in range(w - 1)]
+        while len(row) < w:
+            code = cursor.take(8)
+            if code > LONGEST_LITERAL:
+                row += [cursor.take(16, True)] * (257 - code)
             else:
-                value += low + ((k // 2 if k & 1 else -(k // 2)) << low_bits)
-            out[y, x] = value
-        at = -(-at // 8) * 8
-    kinds = {1: np.int8, 2: np.int16, 4: np.int32}
-    return out.astype(kinds[size]) if size > 1 else out.astype(np.uint8)
+                row += [cursor.difference(low_bits, long_bits) for _ in range(code)]
+                cursor.align()
+        out[y] = np.cumsum(row[:w])
+        cursor.align()
+    return out.astype({1: np.uint8, 2: np.int16, 4: np.int32}[size])
 
 
 def slice_encode(image: np.ndarray, low_bits: int, kind: int = 0) -> bytes:
     """The inverse of ``slice_decode``."""
-    size, long_bits = SLICE_KINDS[kind]
+    size, long_bits, runs = SLICE_KINDS[kind]
     out = bytearray()
-    for row in image.astype(np.int64):
-        total, n = int(row[0]) & ((1 << 8 * size) - 1), 8 * size
-        for d in np.diff(row).tolist():
+
+    def literal(differences: list[int]) -> bytes:
+        total = n = 0
+        for d in differences:
             q = d >> low_bits
-            k = 2 * q + 1 if q >= 0 else -2 * q
+            k = min(2 * q + 1 if q >= 0 else -2 * q, LONG)
             total |= (d & ((1 << low_bits) - 1) if k < LONG else 0) << n
-            n += low_bits
-            if k < LONG:
-                total |= 1 << (n + k - 1)
-                n += k
-            else:
-                total |= 1 << (n + LONG - 1)
-                n += LONG
+            total |= 1 << (n + low_bits + k - 1)
+            n += low_bits + k
+            if k == LONG:
                 total |= (d & ((1 << long_bits) - 1)) << n
                 n += long_bits
-        out += total.to_bytes(-(-n // 8), "little")
+        return total.to_bytes(-(-n // 8), "little")
+
+    for row in image.astype(np.int64):
+        out += (int(row[0]) & ((1 << 8 * size) - 1)).to_bytes(size, "little")
+        d = np.diff(row).tolist()
+        if not runs:
+            out += literal(d)
+            continue
+        i = 0
+        while i < len(d):
+            n = 1
+            while i + n < len(d) and n < LONGEST_RUN and d[i + n] == d[i]:
+                n += 1
+            if n > 2 and -32768 <= d[i] < 32768:
+                out += bytes([257 - n]) + (d[i] & 0xFFFF).to_bytes(2, "little")
+            else:
+                n = 1
+                while i + n < len(d) and n < LONGEST_LITERAL and not (i + n + 2 < len(d) and d[i + n] == d[i + n + 1] == d[i + n + 2]):
+                    n += 1
+                out += bytes([n]) + literal(d[i : i + n])
+            i += n
     return bytes(out)
 
 

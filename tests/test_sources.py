@@ -32,6 +32,9 @@ def test_ana_compressed_at_every_slice(kind):
     px[3, 9] = np.iinfo(kind).min
     for low_bits in range(1, 8 * px.itemsize - 1, 3):
         assert (ana.decode(ana.encode(px, low_bits=low_bits))[0] == px).all()
+        if px.itemsize < 4:
+            px[5, 3:40] = 9
+            assert (ana.decode(ana.encode(px, low_bits=low_bits, runs=True))[0] == px).all()
 
 
 def test_ana_errors():
