@@ -109,6 +109,39 @@ def units(data: bytes) -> list[tuple[list[str], bytes]]:
     return out
 
 
+def tables(data: bytes) -> list[dict[str, list]]:
+    """Columns of every ASCII table unit, typed by their formats (A text, I integers, others numbers)."""
+    out = []
+    for cards, body in units(data):
+        h = merged(cards)
+        if h.get("XTENSION") != "TABLE":
+            continue
+        width, rows = int(h["NAXIS1"]), int(h["NAXIS2"])
+        columns: dict[str, list] = {}
+        for i in range(1, int(h.get("TFIELDS", 0)) + 1):
+            m = re.match(r"([AIFED])(\d+)", str(h[f"TFORM{i}"]))
+            start = int(h[f"TBCOL{i}"]) - 1
+            texts = [body[r * width + start : r * width + start + int(m[2])].decode("latin-1").rstrip() for r in range(rows)]
+            kind = {"A": str, "I": int}.get(m[1], lambda t: float(t.replace("D", "E")))
+            columns[str(h.get(f"TTYPE{i}", f"COL{i}"))] = [kind(t) if t.strip() else None for t in texts]
+        out.append(columns)
+    return out
+
+
+def encode_table(columns: dict[str, list[str]]) -> bytes:
+    """An ASCII table unit of text columns, to follow a primary unit."""
+    widths = {k: max([1, *map(len, v)]) for k, v in columns.items()}
+    n = len(next(iter(columns.values()), []))
+    body = "".join("".join(v[r].ljust(widths[k]) for k, v in columns.items()) for r in range(n)).encode("latin-1")
+    head = [make_cards(k, v)[0] for k, v in (("XTENSION", "TABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", sum(widths.values())), ("NAXIS2", n), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns)))]
+    at = 1
+    for i, (k, w) in enumerate(widths.items(), 1):
+        head += [make_cards(f"TTYPE{i}", k)[0], make_cards(f"TBCOL{i}", at)[0], make_cards(f"TFORM{i}", f"A{w}")[0]]
+        at += w
+    text = "".join([*head, "END".ljust(CARD)])
+    return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode("latin-1") + body.ljust(-(-len(body) // BLOCK) * BLOCK, b" ")
+
+
 def decode(data: bytes) -> tuple[np.ndarray | None, list[str]]:
     """First image (raw, or Rice tiles of the first extension) and the cards of the primary header (those of the tiles beside)."""
     if not data.startswith(b"SIMPLE"):

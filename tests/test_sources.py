@@ -59,6 +59,13 @@ def test_fits_rice_tiles(kind):
     assert (fits.decode(fits.encode(px, rice=True))[0] == px).all()
 
 
+def test_fits_tables():
+    times = ["2020-01-01T00:00:00", "2020-01-01T00:00:01.5"]
+    data = fits.encode(gradient(4, 5, "i2")) + fits.encode_table({"DATE-BEG": times, "N": ["1", ""]})
+    assert fits.tables(data) == [{"DATE-BEG": times, "N": ["1", None]}]
+    assert fits.decode(data)[0].shape == (4, 5)
+
+
 def test_rice_blocks():
     rng = np.random.default_rng(1)
     for spread in (0, 1, 40, 60000):
