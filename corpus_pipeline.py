@@ -28,7 +28,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, quality.quality_rules(docs, load(spark, sf_dir, "labels")).where(~F.col("kept")))
+    # Written first: a filter on the verdict would be pushed below the projections and work every expression out again and again.
+    judged = table(quality.quality_rules(docs, load(spark, sf_dir, "labels")), "judged")
+    return _without(docs, judged.where(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
