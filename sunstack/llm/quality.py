@@ -109,6 +109,8 @@ def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Learn the two multinomials from ``docs`` and label rows (doc_id, quality = 1 trusted), then judge every document."""
+    """Learn the two multinomials from ``docs`` and label rows (doc_id, quality = 1 trusted), then judge every document.
+
+    Write the result before filtering on ``kept``: pushed below the projections, a filter would repeat their expressions."""
     trusted = trusted_ids(labels, "doc_id", F.col("quality") == 1)
     return score(docs, weights(docs, trusted, id_col, text_col), id_col, text_col, threshold)
