@@ -1,7 +1,7 @@
 """Corpus pipeline: each stage is one operator of sunstack.llm, written as Parquet and reread by the next.
 
-Rows that repeat an id share its verdict in a filtering stage; a null id is an id like
-any other. All but the last stage return the columns of their input.
+Filtering stages number the rows and judge each by itself, so rows that repeat an id, or
+have none, don't share a verdict. All but the last stage return the columns of their input.
 """
 
 from __future__ import annotations
@@ -20,27 +20,36 @@ from sunstack.llm.tables import load
 ORACLE_SQL: str | None = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in gone."""
-    bad = gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge")  # it grows with the corpus, so it is never broadcast
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_gone"]), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number _row of each row, written so that every reading finds the same numbers."""
+    return table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows but for those whose number is the doc_id of a row of gone; the numbers are dropped."""
+    bad = gone.select(F.col("doc_id").alias("_row")).hint("merge")  # it grows with the corpus, so it is never broadcast
+    return rows.join(bad, "_row", "left_anti").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    rows = _numbered(docs)
+    weight = quality.weights(rows, quality.trusted_ids(load(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1))
     # Written first: a filter on the verdict would be pushed below the projections and work every expression out again and again.
-    judged = table(quality.quality_rules(docs, load(spark, sf_dir, "labels")), "judged")
-    return _without(docs, judged.where(~F.col("kept")))
+    judged = table(quality.score(rows, weight, "_row"), "judged")
+    return _without(rows, judged.where(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity of 0.8 or more, the smallest id stays."""
-    left = _without(docs, minhash.near_duplicates(docs, num=80, size=5).where(~F.col("kept")))
-    again = docs.groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return left
-    often = again.select(F.col("doc_id").alias("_often"))
-    return _without(left, again).unionByName(left.join(often, left["doc_id"].eqNullSafe(often["_often"]), "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group: five-word shingles, similarity of 0.8 or more, the smallest id stays (null before all others)."""
+    rows = _numbered(docs)
+    linked = table(minhash.near_duplicates(rows, "_row", num=80, size=5).select("doc_id", "component_id"), "linked")
+    groups = linked.where(F.col("doc_id") != F.col("component_id")).select("component_id").distinct()
+    members = linked.join(groups.hint("merge"), "component_id", "left_semi")
+    # Rows of one id are told apart by their text, then by their number.
+    ids = rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")).join(members.select(F.col("doc_id").alias("_row"), "component_id").hint("merge"), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("_id", "_h", "_row"))["_row"].alias("_first"))
+    return _without(rows, members.join(first.hint("merge"), "component_id").where(F.col("doc_id") != F.col("_first")))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +64,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which fewer than one window's words (8) are hit by benchmark windows."""
-    hit = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where(F.col("n_hit") >= decontaminate.WINDOW)
-    return _without(docs, hit)
+    rows = _numbered(docs)
+    hit = decontaminate.decontaminate(rows, load(spark, sf_dir, "benchmark"), "_row").where(F.col("n_hit") >= decontaminate.WINDOW)
+    return _without(rows, hit)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

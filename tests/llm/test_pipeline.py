@@ -74,3 +74,21 @@ def test_repeated_rows_leave_one(spark, folder):
     twice = docs.unionAll(docs)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, twice, folder).collect()) == [0, 3]
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    rows = [(None, a), (None, b), (None, "too short"), (2, a), (3, c), (7, d), (7, c), (7, "too short"), (9, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    found = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    good = [x for x in rows if x[1] != "too short"]
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert found(one) == sorted(good, key=str)
+    two = corpus_pipeline.near_dedup_stage(spark, one, str(tmp_path))
+    assert found(two) == sorted([(None, a), (None, b), (3, c), (7, d)], key=str) and two.columns == docs.columns
+    item = words(rng, 20, 10**6)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaked = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(None, a), (None, item), (7, b), (7, item)]], SCHEMA)
+    assert found(corpus_pipeline.decontamination_stage(spark, leaked, str(tmp_path))) == sorted([(None, a), (7, b)], key=str)
