@@ -63,9 +63,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which fewer than one window's words (8) are hit by benchmark windows."""
+    """Documents without a benchmark window: 8 words, or the whole of an item that has fewer."""
     rows = _numbered(docs)
-    hit = decontaminate.decontaminate(rows, load(spark, sf_dir, "benchmark"), "_row").where(F.col("n_hit") >= decontaminate.WINDOW)
+    hit = decontaminate.decontaminate(rows, load(spark, sf_dir, "benchmark"), "_row").where(F.col("n_hit") > 0)
     return _without(rows, hit)
 
 

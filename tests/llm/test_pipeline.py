@@ -92,3 +92,11 @@ def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     leaked = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(None, a), (None, item), (7, b), (7, item)]], SCHEMA)
     assert found(corpus_pipeline.decontamination_stage(spark, leaked, str(tmp_path))) == sorted([(None, a), (7, b)], key=str)
+
+
+def test_short_items_are_leaks(spark, tmp_path):
+    rows = [(1, "six words of a short item"), (2, "one two three"), (3, "four five six"), (4, " ".join(f"x{i}" for i in range(10)))]
+    spark.createDataFrame(rows, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["a b Six words, of a short ITEM c", "one two three a four five six", "six words of a short", "x0 x1 x2 x3 x4 x5 x6", "a x1 x2 x3 x4 x5 x6 x7 x8 b", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()) == [2, 3, 5]
