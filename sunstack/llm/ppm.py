@@ -1,19 +1,21 @@
 """LM scoring: prediction by partial matching over bytes, pretrained on the training documents.
 
-Counting. Every training text (A-Z lower-cased), between three zero bytes and the one
-that ends it, gives the 4-byte runs (3 bytes of context, 1 symbol) at all positions. Tasks count runs with numpy, and
-Spark sums them, so counts cover all training texts.
-
-Trie. Contexts of order 0 to 2 are all kept (65,793 at most); of order 3 the
-``contexts`` most frequent by total count (ties: the smallest), a stated size of the
-model that bounds what is broadcast. A node's distribution escapes by method C
-(distinct / (total + distinct)) to its parent, where the symbols seen at the node are
-excluded; below order 0 the symbols left share evenly. Since the model is fixed while
-scoring, each node's 256 log-probabilities are worked out once, and a text's code
-length is a walk of table look-ups, vectorised over positions.
+Counting. Every text (A-Z lower-cased), between ``DEPTH`` zero bytes and the one that
+ends it, gives the runs of DEPTH + 1 bytes (DEPTH of context, 1 symbol) at all positions.
+Tasks count runs with numpy by block of documents, and Spark sums the counts of the
+training texts, so all contexts of all training texts are kept, however many they are.
+
+Model. A context's distribution escapes by method C (distinct / (total + distinct)) to
+that of the context without its oldest byte, where the symbols seen are excluded; below
+order 0 the symbols left share evenly. Only the counts of order 0 and 1 (65,536 at most)
+are broadcast. Runs are dealt by the two bytes before their symbol, so a task has
+all contexts that end in these, and writes the log-probability of every run once as a table.
+
+Scoring. The runs of a block of documents are looked up in that table by a join, each
+distinct run once for a block, and a text's code length is the sum over its positions.
 
 Base. Words are looked up by block of documents: a block's distinct words meet the
-corpus counts in one join, so a frequent word travels once for each block, not once
+corpus counts in a join, so a frequent word travels once for each block, not once
 for each document.
 
 Cases: null and empty texts score their end alone (a token in the base, a zero byte in the model); without
@@ -29,17 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from .scratch import table
 
-ORDER, CONTEXTS, BLOCK_BYTES, HELD_OUT, FOLDS = 3, 16_384, 8 << 20, 2, 7
+DEPTH, ORDER, BLOCK_BYTES, HELD_OUT, FOLDS = 4, 3, 8 << 20, 2, 7  # ORDER: of the plain trie
 END = b""  # no word is empty
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-ENCODED = "block string, word binary, number int, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, score double"
+ENCODED = "block string, word binary, number int, code bigint, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, bytes binary"
 
 
 def held_out(doc: int | None) -> bool:
@@ -55,7 +57,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offs + np.arange(n + 1)
 
 
-def _padded(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def _padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts with ``order`` zero bytes before each, and the positions of their own bytes in it."""
     n = len(offs) - 1
     at = np.arange(len(buf)) + order * (np.repeat(np.arange(n), np.diff(offs)) + 1)
@@ -64,19 +66,72 @@ def _padded(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.n
     return out, at
 
 
-def gram_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 4-byte runs (oldest byte first) and their counts."""
-    text, at = _padded(buf, offs)
-    code = np.zeros(len(at), np.uint32)
-    for back in range(ORDER, -1, -1):
-        code = (code << np.uint32(8)) | text[at - back]
+def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    """The run of order + 1 bytes (oldest byte first) that ends at each position."""
+    text, at = _padded(buf, offs, order)
+    code = np.zeros(len(at), np.uint32 if order < 4 else np.int64)
+    for back in range(order, -1, -1):
+        code = (code << code.dtype.type(8)) | text[at - back]
+    return code
+
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs in order and their counts; sorts code in place."""
     code.sort()
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
     return code[first].astype(np.int64), np.diff(np.append(first, len(code)))
 
 
+def gram_counts(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of order + 1 bytes (oldest byte first) and their counts."""
+    return counted(grams(buf, offs, order))
+
+
+def log_probabilities(code: np.ndarray, count: np.ndarray, pairs: np.ndarray, order: int = DEPTH) -> np.ndarray:
+    """log10 probability of the symbol of every run in its context.
+
+    code: distinct runs of order + 1 bytes, with all those that share their last two context bytes; count: in training,
+    0 for runs to be scored only; pairs: training counts of (byte, symbol), 256 x 256."""
+    single = pairs.sum(axis=0)
+    levels = [(np.flatnonzero(single), single[single > 0]), (np.flatnonzero(pairs), pairs[pairs > 0])]
+    trained = code[count > 0]
+    for k in range(2, order + 1):
+        own, inverse = np.unique(trained & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        levels.append((own, np.bincount(inverse, weights=count[count > 0], minlength=len(own)) if len(own) else np.zeros(0)))
+
+    def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    p = escaped = up = up_total = up_kinds = None  # of the context one byte shorter
+    for k, (own, n) in enumerate(levels):
+        nodes, inverse = np.unique(own >> 8, return_inverse=True)
+        summed = lambda x: np.bincount(inverse, weights=x, minlength=len(nodes)) if len(nodes) else np.zeros(0)  # noqa: B023, E731
+        wanted = code & ((1 << (8 * (k + 1))) - 1)
+        c, total, kinds = look(own, n, wanted), look(nodes, summed(n), wanted >> 8), look(nodes, summed(np.ones(len(own))), wanted >> 8)
+        if k == 0:
+            below = np.where(c > 0, 0.0, 1.0 / np.maximum(256 - kinds, 1))
+        else:
+            # The parent without the symbols seen here, which are excluded.
+            seen = look(nodes, summed(look(*levels[k - 1], own & ((1 << (8 * k)) - 1))), wanted >> 8)
+            t, more = up_total - seen, np.where(up_kinds == 256, 0, up_kinds - kinds)
+            out = np.where(up_kinds == 256, 0.0, np.where(t > 0, more / np.maximum(t + more, 1), 1.0))
+            below = np.where(up > 0, up / np.maximum(t + more, 1), out * escaped)
+        here = np.where(c > 0, c / np.maximum(total + np.where(kinds == 256, 0, kinds), 1), np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0) * below)
+        if k == 0:
+            p = here
+        else:
+            p = np.where(total > 0, here, p)  # a context that never came up is passed over, and so are all longer ones
+        escaped, up, up_total, up_kinds = below, c, total, kinds
+    return np.log10(p)
+
+
 class Trie:
-    """Nodes by order; ``child[node, older byte]`` is the next longer context or -1, ``logs[node, symbol]`` log10 of its probability."""
+    """The model of order 3 in memory, plainly; the tests hold ``log_probabilities`` against it.
+
+    Nodes by order; ``child[node, older byte]`` is the next longer context or -1, ``logs[node, symbol]`` log10 of its probability."""
 
     def __init__(self, gram: np.ndarray, count: np.ndarray, contexts: np.ndarray, context_gram: np.ndarray, context_count: np.ndarray) -> None:
         """gram, count: all 3-byte runs (order 2 and its symbol); contexts: kept 3-byte contexts, with their runs (code, count)."""
@@ -132,7 +187,7 @@ class Trie:
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        text, at = _padded(buf, offs)
+        text, at = _padded(buf, offs, ORDER)
         node = np.zeros(len(at), np.int32)
         alive = np.arange(len(at))
         for back in range(1, ORDER + 1):
@@ -146,40 +201,37 @@ class Trie:
         return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """code, n of every 4-byte run of the training documents. rows: doc_id, text."""
+def model(coded: DataFrame) -> DataFrame:
+    """code, logp of every run of the documents, learnt from those of the training documents. coded: of ``encode``."""
+    runs = table(coded.where(F.col("code").isNotNull()).groupBy("code").agg(F.sum("seen").alias("n")), "grams")
+    pairs = np.zeros((256, 256))
+    low = runs.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
+    pairs.ravel()[low["code"].to_numpy(np.int64)] = low["n"].to_numpy(float)
+    shared = coded.sparkSession.sparkContext.broadcast(pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64))], names=["code", "n"])
+    def out(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(log_probabilities(code, n, shared.value).astype(np.float32))], names=["code", "logp"])
 
-        for batch in T.slices(batches, "text"):
-            train = pa.array([not held_out(d) for d in batch.column("doc_id").to_pylist()])
-            code, n = gram_counts(*texts_of(batch.column("text").filter(train)))
-            codes.append(code)
-            counts.append(n)
-            size += len(code)
-            if size > 4_000_000:
-                yield out()
-                codes, counts, size = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, size = [], [], 0  # rows come in order of near: the last one's runs may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes.append(batch.column("code").to_numpy())
+            counts.append(batch.column("n").to_numpy())
+            size += batch.num_rows
+            if size > 500_000:
+                code, n = np.concatenate(codes), np.concatenate(counts)
+                near = (code >> 8) & 0xFFFF
+                cut = int(np.flatnonzero(near != near[-1])[-1]) + 1 if near[0] != near[-1] else 0
+                if cut:
+                    yield out(code[:cut], n[:cut])
+                codes, counts, size = [code[cut:]], [n[cut:]], len(code) - cut
         if size:
-            yield out()
+            yield out(np.concatenate(codes), np.concatenate(counts))
 
-    return rows.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train(rows: DataFrame, contexts: int = CONTEXTS) -> Trie:
-    """The trie of all training documents; what reaches the driver is bounded by 2**24 short runs and ``contexts`` * 256 long ones."""
-    grams = table(count_grams(rows), "grams")
-    short = grams.groupBy(F.col("code").bitwiseAND((1 << 24) - 1).alias("code")).agg(F.sum("n").alias("n")).toPandas()
-    kept = grams.groupBy(F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ctx").limit(contexts).select("ctx")
-    long = grams.join(F.broadcast(kept), F.shiftright("code", 8) == F.col("ctx"), "left_semi").toPandas()
-    g, c = short["code"].to_numpy(np.int64), short["n"].to_numpy(float)
-    lg, lc = long["code"].to_numpy(np.int64), long["n"].to_numpy(float)
-    return Trie(g, c, np.unique(lg >> 8), lg, lc)
+    dealt = runs.withColumn("near", F.shiftright("code", 8).bitwiseAND(0xFFFF)).repartition("near").sortWithinPartitions("near")
+    return table(dealt.mapInArrow(run, "code bigint, logp float"), "model")
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -191,83 +243,97 @@ def unsqueeze(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
 
 
-def encode(rows: DataFrame, model: Broadcast) -> DataFrame:
-    """Documents and vocabularies by block: rows (block, doc_id, ids, score) and rows (block, word, number, seen in training)."""
+def encode(rows: DataFrame) -> DataFrame:
+    """Rows by block: (block, word, number, seen in training), (block, code of a run, seen in training), and the documents."""
+    names = [x.split()[0] for x in ENCODED.split(", ")]
+    kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+    def made(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(x.split()[0], pa.nulls(n, kinds[x.split()[1]])) for x in ENCODED.split(", ")], names=names)
 
-    def pack(block: str, held: list[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
+    def pack(block: str, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {END: 0}
-        docs, scores, ids, tokens, out = [], [], [], [], []
+        docs, ids, tokens, out, squeezed, codes = [], [], [], [], [], ([], [])
         seen = np.zeros(0, np.int64)
         for batch in held:
-            scores.append(trie.score(*texts_of(batch.column("text"))))
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(T.LOWER_BYTES)
+            own_ids = batch.column("doc_id").to_pylist()
+            away = np.array([held_out(d) for d in own_ids], bool)
+            buf, offs = texts_of(batch.column("text"))
+            code = grams(buf, offs, DEPTH)
+            which = np.repeat(away, np.diff(offs))
+            codes[0].append(code[~which]), codes[1].append(code[which])
+            for doc, raw, gone in zip(own_ids, (buf[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:] - 1, strict=True)), away.tolist(), strict=True):
                 own = np.array([number.setdefault(w, len(number)) for w in raw.split()] + [0], np.int32)
                 if len(number) > len(seen):
                     seen = np.concatenate((seen, np.zeros(max(len(number), len(seen) or 1024), np.int64)))
-                away = held_out(doc)
-                if not away:
+                if not gone:
                     np.add.at(seen, own, 1)
-                docs.append(doc), ids.append(squeeze(own)), tokens.append(len(own)), out.append(away)
+                docs.append(doc), ids.append(squeeze(own)), tokens.append(len(own)), out.append(gone), squeezed.append(zlib.compress(raw, 1))
         words = list(number)
         n, m = len(words), len(docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * n), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(seen[:n]),
-             pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64())],
-            names=[x.split()[0] for x in ENCODED.split(", ")],
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * m), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
-             pa.array(docs, pa.int64()), pa.array(out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.concatenate(scores))],
-            names=[x.split()[0] for x in ENCODED.split(", ")],
-        )
+        yield made(n, block=pa.array([block] * n), word=pa.array(words, pa.binary()), number=pa.array(np.arange(n, dtype=np.int32)), seen=pa.array(seen[:n]))
+        code, count = counted(np.concatenate(codes[0]))
+        more = np.setdiff1d(counted(np.concatenate(codes[1]))[0], code, assume_unique=True)
+        for c, k in ((code, count), (more, np.zeros(len(more), np.int64))):
+            for i in range(0, len(c), 1 << 16):
+                own = c[i : i + (1 << 16)]
+                yield made(len(own), block=pa.array([block] * len(own)), code=pa.array(own), seen=pa.array(k[i : i + (1 << 16)]))
+        yield made(m, block=pa.array([block] * m), doc_id=pa.array(docs, pa.int64()), held_out=pa.array(out, pa.bool_()), n_tokens=pa.array(tokens, pa.int64()),
+                   ids=pa.array(ids, pa.binary()), bytes=pa.array(squeezed, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie = Trie.__new__(Trie)
-        trie.__dict__ = model.value
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in T.slices(batches, "text"):
             held.append(batch)
             size += batch.nbytes
             if size > BLOCK_BYTES:
-                yield from pack(f"{part}-{number}", held, trie)
+                yield from pack(f"{part}-{number}", held)
                 number, held, size = number + 1, [], 0
         if held:
-            yield from pack(f"{part}-{number}", held, trie)
+            yield from pack(f"{part}-{number}", held)
 
     return rows.mapInArrow(run, ENCODED)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = rows.sparkSession.sparkContext.broadcast(train(rows, contexts).__dict__)
-    coded = table(encode(rows, model), "encoded")
+    coded = table(encode(rows), "encoded")
     vocabulary = coded.where(F.col("word").isNotNull())
     counts = table(vocabulary.groupBy("word").agg(F.sum("seen").alias("c")).where("c > 0"), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     base = float(np.log10(n + v + 1))
-    known = vocabulary.select("block", "word", "number").join(counts, "word").select(F.col("block").alias("of_block"), "number", "c")
-    texts = coded.where(F.col("word").isNull()).select("block", "doc_id", "held_out", "n_tokens", "ids", "score")
+    none = lambda kind: F.lit(None).cast(kind)
+    known = vocabulary.select("block", "word", "number").join(counts, "word").select(F.col("block").alias("of_block"), "number", "c", none("bigint").alias("code"), none("float").alias("logp"))
+    runs = coded.where(F.col("code").isNotNull()).select("block", "code").join(model(coded).hint("merge"), "code")
+    known = known.unionAll(runs.select("block", none("int"), none("bigint"), "code", "logp"))
+    texts = coded.where(F.col("n_tokens").isNotNull()).select("block", "doc_id", "held_out", "n_tokens", "ids", "bytes")
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = right.column("number").to_numpy()
+        words, found = right.filter(pc.is_valid(right.column("number"))), right.filter(pc.is_valid(right.column("code")))
+        number = words.column("number").to_numpy()
         c = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-        c[number] = right.column("c").to_numpy()
-        out: list[list[np.ndarray]] = [[], []]
-        for ids in left.column("ids").to_pylist():
+        c[number] = words.column("c").to_numpy()
+        code, logp = found.column("code").combine_chunks(), found.column("logp").to_numpy()
+        out: list[list] = [[], [], []]
+        for ids, packed in zip(left.column("ids").to_pylist(), left.column("bytes").to_pylist(), strict=True):
             own = unsqueeze(ids)
             own = c[own[own < len(c)]]
             own = own[own > 0]
             out[0].append(len(own))
             out[1].append(float(np.log10(own + 1.0).sum()))
+            out[2].append(zlib.decompress(packed) + b"\0")
         tokens = left.column("n_tokens").to_numpy()
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in out[2]])))
+        own = grams(np.frombuffer(b"".join(out[2]), np.uint8), offs, DEPTH)
+        # Every run of the block is in the model.
+        sums = np.concatenate(([0.0], np.cumsum(logp[pc.index_in(pa.array(own), value_set=code).to_numpy()].astype(np.float64))))
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(out[0], pa.int64()),
             "train_tokens": pa.array(np.full(len(tokens), n, np.int64)), "base_score": pa.array(np.array(out[1], float) - tokens * base),
-            "score": left.column("score"),
+            "score": pa.array(sums[offs[1:]] - sums[offs[:-1]]),
         })
 
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(together, SCHEMA)

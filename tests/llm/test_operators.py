@@ -250,6 +250,42 @@ def test_ppm_scoring(spark, docs, none):
     assert ppm.score(none).count() == 0
 
 
+def test_ppm_keeps_every_context(spark):
+    rng = random.Random(9)
+    import pyarrow as pa
+
+    # More than 16,384 contexts of order 3, among them those of one text only and of several bytes.
+    texts = ["".join(chr(rng.choice((97, 98, 0xE9, 0x4E00)) + rng.randrange(60)) for _ in range(3000)) for _ in range(30)] + [None, "", "é\x00"]
+    buf, offs = ppm.texts_of(pa.array(texts))
+    code, n = ppm.gram_counts(buf, offs)
+    assert len(np.unique(code >> 8)) > 16_384
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs.ravel(), code & 0xFFFF, n)
+    low, at = np.unique(code & 0xFFFFFF, return_inverse=True)
+    trie = ppm.Trie(low, np.bincount(at, weights=n), np.unique(code >> 8), code, n)
+    held, held_offs = ppm.texts_of(pa.array(["".join(chr(97 + rng.randrange(90)) for _ in range(200)), "é一" * 50]))
+    more = np.setdiff1d(ppm.gram_counts(held, held_offs)[0], code)
+    every = np.concatenate((code, more))
+    logs = dict(zip(every.tolist(), ppm.log_probabilities(every, np.concatenate((n, np.zeros(len(more), int))), pairs, 3), strict=True))
+    for b, o in ((buf, offs), (held, held_offs)):
+        own = np.array([logs[g] for g in ppm.grams(b, o, 3).tolist()])
+        sums = np.concatenate(([0.0], np.cumsum(own)))
+        assert np.allclose(sums[o[1:]] - sums[o[:-1]], trie.score(b, o), rtol=1e-5)
+
+    # The tables give what one call over all training texts gives, at full depth.
+    rows = ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    assert len(rows) == len(texts)
+    out = np.array([ppm.held_out(d) for d in range(len(texts))])
+    code = ppm.grams(buf, offs, ppm.DEPTH)
+    own, first = np.unique(code, return_inverse=True)
+    count = np.bincount(first, weights=np.repeat(~out, np.diff(offs)))
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs.ravel(), own & 0xFFFF, count)
+    sums = np.concatenate(([0.0], np.cumsum(ppm.log_probabilities(own, count, pairs)[first])))
+    for r in rows:
+        assert math.isclose(r["score"], sums[offs[r["doc_id"] + 1]] - sums[offs[r["doc_id"]]], rel_tol=1e-5)
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(d, int(d != 203), 0) for d, _ in corpus() if d % 2] + [(None, 1, 0), (999, 1, 0)], "doc_id bigint, quality int, toxic int")
     import xxhash
