@@ -1,12 +1,14 @@
 """License scans [native]: sparse TF-IDF cosine to licence templates, inherited by directory.
 
-Every line of every text (markup removed) is a bag of terms. Weights are
-idf = ln((1 + N) / (1 + df)) + 1, with df counted over all texts for the terms of the
-templates; a term outside the templates weighs as one of df 0. A line's licence is the
-template sentence of the highest cosine of at least ``threshold``; a text's licence is
-that of its best line (ties: the first name). Lines that could not reach the threshold
-are passed over by an exact test: a vector that shares only the lightest terms of a
-sentence, whose norm is under threshold * the sentence's norm, can't have that cosine.
+Every line of every text (block tags end a line, other tags are blanks) is read in windows
+of one and two times the length of a template sentence, each a bag of terms. Terms of the
+sentence weigh idf = ln((1 + N) / (1 + df)) + 1, with df counted over all texts; any other
+word weighs ``OTHER``, whatever N is. A line's licence is that of the template sentence and
+window of the highest cosine of at least ``threshold``, so words before, after and between don't
+hide it; a text's licence is that of its best line (ties: the first name). Lines that could not
+reach the threshold are passed over by an exact test: a vector that shares only the lightest
+terms of a sentence, whose norm is under threshold * the sentence's norm, can't have that
+cosine. Only windows that start with a term of the sentence are scored: another start is never better.
 
 A path declares a licence for its directory if it is a licence file (LICENSE, COPYING
 ...) or the directory's own page (ends in "/"). A text without a licence inherits that
@@ -22,13 +24,14 @@ read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import table
 
-THRESHOLD = 0.6
+THRESHOLD, OTHER = 0.6, 2.0
 SPLIT = "[^a-z0-9.+]+"
 LICENCE_FILE = r"^(licen[cs]e|copying|copyright|unlicense)([.-].*)?$"
 
@@ -48,14 +51,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+BLOCK_TAGS = ("address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|"
+              "legend|li|main|menu|nav|ol|option|p|pre|script|section|select|style|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul")
+
+
 def terms(line: Column) -> Column:
-    """Distinct terms of a line: lower-case runs of letters, digits, '.' and '+', with dots at the ends dropped."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(line), SPLIT), lambda t: F.btrim(t, F.lit("."))), lambda t: t != ""))
+    """Terms of a line in order: lower-case runs of letters, digits, '.' and '+', with dots at the ends dropped."""
+    return F.filter(F.transform(F.split(F.lower(line), SPLIT), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
+
+
+def best_window(occurs: Column, n: Column, length: Column, norm: Column) -> Column:
+    """Best cosine of a sentence over the windows of a line of n terms; occurs: (pos, term, w) of the sentence's terms in it, by pos."""
+
+    def cosine(s: Column, i: Column, width: Column) -> Column:
+        inside = F.filter(F.slice(occurs, i + 1, width), lambda x: x["pos"] < s["pos"] + width)
+        dot = F.aggregate(F.array_distinct(F.transform(inside, lambda x: F.struct(x["term"], x["w"]))), F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+        others = F.least(width, n - s["pos"]) - F.size(inside)
+        return dot / (norm * F.sqrt(dot + others * OTHER * OTHER))
+
+    return F.array_max(F.transform(occurs, lambda s, i: F.greatest(cosine(s, i, length), cosine(s, i, 2 * length))))
 
 
 def plain(html: Column) -> Column:
-    """Markup to lines: every tag ends a line, and the commonest entities are decoded."""
-    text = F.regexp_replace(html, "<[^>]*>", "\n")
+    """Markup to lines: block tags end a line, other tags and line ends are blanks, and the commonest entities are decoded."""
+    text = F.regexp_replace(F.translate(html, "\r\n", "  "), f"(?i)</?(?:{BLOCK_TAGS})(?:[\\s/][^>]*)?>", "\n")
+    text = F.regexp_replace(text, "<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -68,12 +88,13 @@ def url_path(url: Column) -> Column:
 
 def _template_terms(df: DataFrame) -> DataFrame:
     rows = [(name, f"{name}/{i}", s) for name, all_ in TEMPLATES.items() for i, s in enumerate(all_)]
-    return df.sparkSession.createDataFrame(rows, "license string, sentence string, text string").select("license", "sentence", F.explode(terms(F.col("text"))).alias("term"))
+    return df.sparkSession.createDataFrame(rows, "license string, sentence string, text string").select("license", "sentence", F.size(terms(F.col("text"))).alias("length"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
 def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, origin (own, inherited or none), score (of the deciding line, 4 decimals), directory (that declared it)."""
     base = files.select(F.col(id_col).alias("doc_id"), path_col.alias("path"), F.coalesce(text_col, F.lit("")).alias("text"))
+    base = table(base, "texts")  # markup is taken off once
     sentences = _template_terms(files)
     vocabulary = sentences.select("term").distinct()
     counted = base.select(F.explode(F.split(F.lower("text"), SPLIT)).alias("t"), F.xxhash64("doc_id", "path", "text").alias("d")).select("d", F.btrim("t", F.lit(".")).alias("term"))
@@ -81,7 +102,6 @@ def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, thre
     df = {r["term"]: r["df"] for r in counted.collect()}  # at most one row for each template term
     n = base.select(F.xxhash64("doc_id", "path", "text").alias("d")).distinct().count()
     idf = {r["term"]: math.log((1 + n) / (1 + df.get(r["term"], 0))) + 1 for r in vocabulary.collect()}
-    other = math.log(1 + n) + 1
 
     signal, norms = set(), {}
     for row in sentences.groupBy("license", "sentence").agg(F.collect_list("term").alias("terms")).collect():
@@ -98,17 +118,16 @@ def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, thre
 
     # Lines as text first: only those with a signal term are taken apart.
     marks = F.array(*[F.lit(t) for t in sorted(signal)])
-    lines = base.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.where(F.lower("content").rlike("|".join(sorted(t.replace(".", r"\.").replace("+", r"\+") for t in signal))))
-    lines = lines.select("doc_id", "path", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", marks))
-    lines = table(lines, "lines")  # few are left, and two aggregates read them
-    size = F.aggregate(F.col("terms"), F.lit(0.0), lambda a, t: a + F.when(t.isin(sorted(idf)), 0.0).otherwise(other * other))
-    words = lines.select("doc_id", "path", "line", size.alias("rest"), F.explode("terms").alias("term")).join(F.broadcast(weights), "term")
-    known = words.groupBy("doc_id", "path", "line").agg((F.first("rest") + F.sum(F.col("w") * F.col("w"))).alias("norm2"))
-    dots = words.drop("w").join(F.broadcast(wanted), "term").groupBy("doc_id", "path", "line", "license", "sentence").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.first("norm").alias("norm"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["path"].eqNullSafe(b["path"])
-    scored = dots.join(known, same(dots, known) & (dots["line"] == known["line"])).select(
-        dots["doc_id"], dots["path"], "license", F.round(F.col("dot") / (F.col("norm") * F.sqrt("norm2")), 4).alias("score"))
+    lines = base.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("content")).withColumn("content", F.lower("content"))
+    lines = lines.where(reduce(lambda a, b: a | b, [F.col("content").contains(t) for t in sorted(signal)]))
+    lines = lines.select("doc_id", "path", F.xxhash64("content").alias("line"), terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", marks))
+    lines = table(lines.dropDuplicates(["doc_id", "path", "line"]), "lines")
+    words = lines.select("doc_id", "path", "line", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")).join(F.broadcast(wanted), "term")
+    found = words.groupBy("doc_id", "path", "line", "license", "sentence").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "term", "w"))).alias("occurs"), *[F.first(c).alias(c) for c in ("n", "length", "norm")],
+        F.collect_set(F.struct("term", "w")).alias("shared"))
+    able = F.aggregate("shared", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]) >= (threshold * F.col("norm")) ** 2 * (1 - 1e-9)
+    scored = found.where(able).select("doc_id", "path", "license", F.round(best_window(F.col("occurs"), F.col("n"), F.col("length"), F.col("norm")), 4).alias("score"))
     best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "path").agg(
         F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
 

@@ -351,3 +351,19 @@ def test_licences(spark):
         4: ("Apache-2.0", "inherited", "a.example/docs/deep/"), 5: ("GPL-3.0", "own", None), 6: (None, "none", None), 7: (None, "none", None),
     }
     assert licenses.scan_pages(df.limit(0)).count() == 0
+
+
+def test_licences_in_longer_lines(spark):
+    rows = [
+        ("Released under the MIT License by Jane Doe.", "MIT"), ("Copyright 2020 Acme. Released under the MIT License.", "MIT"),
+        ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        ('Licensed by Acme Ltd. under the <a href="https://x.example/">Apache\nLicense</a>, Version <b>2.0</b>, in 2021, see https://x.example/LICENSE', "Apache-2.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+         "Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+        ("MIT</p><p>License", None), ("You need a license and permission of the owner to sell this work", None),
+    ]
+    for fillers in (1000, 5000):
+        filler = spark.range(fillers).select(F.col("id"), F.lit("https://b.example/x"), F.concat(F.lit("<p>this is the work of and to in "), F.col("id").cast("string")))
+        df = filler.unionAll(spark.createDataFrame([(-i, f"https://a{i}.example/x", f"<div><p>{t}</p></div>") for i, (t, _) in enumerate(rows, 1)], "id bigint, url string, html string"))
+        got = {r["doc_id"]: (r["license"], r["score"]) for r in licenses.scan_pages(df.toDF("page_id", "url", "html")).where("doc_id < 0 OR license IS NOT NULL").collect()}
+        assert {d: x for d, (x, _) in got.items()} == {-i: x for i, (_, x) in enumerate(rows, 1)}, got
