@@ -8,6 +8,8 @@ code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _ODD = U64(0x9E3779B97F4A7C15)
 _LONG = 48  # longer words are hashed one by one
+_KEPT = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,21 +44,34 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i < n, kept for the next call."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("p", int(_ODD)), ("i", pow(int(_ODD), -1, 1 << 64))):
-            steps = np.full(size, U64(base))
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"][:n], _powers["i"][:n]
+    """p**i and p**-i modulo 2**64 for i < n; up to ``_KEPT`` of them are kept for the next call."""
+    if "p" in _powers and len(_powers["p"]) >= n:
+        return _powers["p"][:n], _powers["i"][:n]
+    size, made = max(n, 1 << 16), {}
+    for key, base in (("p", int(_ODD)), ("i", pow(int(_ODD), -1, 1 << 64))):
+        steps = np.full(size, U64(base))
+        steps[0] = 1
+        made[key] = np.multiply.accumulate(steps)
+    if size <= _KEPT:
+        _powers.update(made)
+    return made["p"][:n], made["i"][:n]
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine: Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the n + 1 offsets of its documents."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column if pa.types.is_large_binary(column.type) else column.cast(pa.large_string()), "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
