@@ -23,7 +23,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), **quality.PRODUCTION)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,3 +367,38 @@ def test_licences_in_longer_lines(spark):
         df = filler.unionAll(spark.createDataFrame([(-i, f"https://a{i}.example/x", f"<div><p>{t}</p></div>") for i, (t, _) in enumerate(rows, 1)], "id bigint, url string, html string"))
         got = {r["doc_id"]: (r["license"], r["score"]) for r in licenses.scan_pages(df.toDF("page_id", "url", "html")).where("doc_id < 0 OR license IS NOT NULL").collect()}
         assert {d: x for d, (x, _) in got.items()} == {-i: x for i, (_, x) in enumerate(rows, 1)}, got
+
+
+def test_quality_rules_of_pairs(spark, docs, none):
+    """Order 2 counts neighbouring words: the ratio is that of plain hashes, and shuffling a text changes it."""
+    labels = spark.createDataFrame([(d, int(d != 203), 0) for d, _ in corpus() if d % 2], "doc_id bigint, quality int, toxic int")
+    import xxhash
+
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
+
+    one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), seed=42))
+    buckets = quality.PRODUCTION["buckets"]
+
+    def grams(t: str | None) -> list[int]:
+        h = [one(w) for w in brute.words(t)]
+        # Spark hashes a row of longs by feeding the hash of one as the seed of the next.
+        two = [xxhash.xxh64_intdigest((b & (1 << 64) - 1).to_bytes(8, "little"), seed=xxhash.xxh64_intdigest((a & (1 << 64) - 1).to_bytes(8, "little"), seed=42)) for a, b in zip(h, h[1:])]
+        return [x % buckets for x in h + two]
+
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for d, t in corpus():
+        for x in grams(t):
+            raw[x] += 1
+            target[x] += d % 2 and d != 203
+    weight = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels, **quality.PRODUCTION).collect()}
+    for d, t in corpus():
+        llr = float(np.mean([weight[x] for x in grams(t)])) if brute.words(t) else 0.0
+        assert math.isclose(got[d]["llr"], llr, abs_tol=1e-9)
+        assert got[d]["kept"] == (not got[d]["base_failed"] and llr >= quality.PRODUCTION["threshold"])
+    assert quality.quality_rules(none, labels, **quality.PRODUCTION).count() == 0
+    text = corpus()[3][1]
+    pair = spark.createDataFrame([(1, text), (2, " ".join(sorted(text.split()))), (None, text), (1, text)], "doc_id bigint, text string")
+    scores = [(r["doc_id"], round(r["llr"], 9)) for r in quality.score(pair, weight.tolist(), orders=(1, 2)).collect()]
+    assert scores.count((1, scores[0][1])) == 2 and (None, scores[0][1]) in scores and dict(scores)[2] != scores[0][1]
