@@ -141,7 +141,7 @@ def weigh(sentences: list[tuple[str, list[str]]], idf: dict[str, float], thresho
                 anchors.add(t)
         like = {sentences[k][0] for k in range(len(sentences)) if sum(n * bags[k][t] * idf[t] ** 2 for t, n in bags[i].items()) >= threshold * norms[i] * norms[k]} - {name}
         need = sorted({t for other in like for t in bags[i] if t not in said[other]})
-        out.append({"sentence": i, "license": name, "length": len(own), "norm": norms[i], "need": need,
+        out.append({"sentence": i, "license": name, "length": len(own), "norm": norms[i], "need": need, "anchors": sorted(anchors),
                     "terms": [{"term": t, "w": idf[t], "tf": n, "at": [p for p, x in enumerate(own) if x == t] if t in anchors else []} for t, n in sorted(bags[i].items())]})
     return out
 
@@ -197,7 +197,7 @@ def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, thre
     df = {r["term"]: r["df"] for r in base.select(F.explode("present").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each template term at most
     n = base.count()
     weighed = weigh(sentences, {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, threshold)
-    wanted = _inline(spark, weighed, "sentence: int, license: string, length: int, norm: double, need: array<string>, terms: array<struct<term: string, w: double, tf: int, at: array<int>>>")
+    wanted = _inline(spark, weighed, "sentence: int, license: string, length: int, norm: double, need: array<string>, anchors: array<string>, terms: array<struct<term: string, w: double, tf: int, at: array<int>>>")
     anchors = F.array(*map(F.lit, sorted({t["term"] for x in weighed for t in x["terms"] if t["at"]})))
     by_term = wanted.select("sentence", "license", "length", "norm", "need", F.inline("terms"))
 
@@ -205,15 +205,15 @@ def scan(files: DataFrame, id_col: str, path_col: Column, text_col: Column, thre
         """Whether the terms seen of a sentence could reach the threshold."""
         return F.aggregate(seen, F.lit(0.0), lambda a, x: a + (x["tf"] * x["w"]) * (x["tf"] * x["w"])) >= (threshold * F.col("norm")) ** 2 * (1 - 1e-9)
 
-    met = base.select("row", "present", F.explode(F.array_intersect("present", anchors)).alias("term"))
-    met = met.join(F.broadcast(by_term.where(F.size("at") > 0).select("term", "sentence")), "term").join(F.broadcast(wanted), "sentence")
-    met = met.where((F.size(F.array_intersect("present", "need")) == F.size("need")) & enough(F.filter("terms", lambda x: F.array_contains("present", x["term"]))))
-    able = met.groupBy("row").agg(F.collect_set("sentence").alias("sentences"))  # at most all sentences
-
-    lines = base.select("row", "text").join(able.hint("merge"), "row").select("row", "sentences", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.select("row", "sentences", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", anchors))
-    words = lines.select("row", "sentences", "line", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")).join(F.broadcast(by_term), "term")
-    found = words.where(F.array_contains("sentences", F.col("sentence"))).groupBy("row", "line", "license", "sentence").agg(
+    # All map-side, so texts are never shuffled: a text is carried once for each sentence that it could hold, by the first anchor that it has.
+    met = base.select("row", "text", "present", F.explode(F.array_intersect("present", anchors)).alias("term"))
+    met = met.join(F.broadcast(by_term.where(F.size("at") > 0).select("term", "sentence")), "term").join(F.broadcast(wanted.drop("license", "length")), "sentence")
+    met = met.where((F.col("term") == F.array_min(F.array_intersect("present", "anchors"))) & (F.size(F.array_intersect("present", "need")) == F.size("need"))
+                    & enough(F.filter("terms", lambda x: F.array_contains("present", x["term"]))))
+    lines = met.select("row", "sentence", "anchors", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    lines = lines.select("row", "sentence", "line", terms(F.col("content")).alias("terms"), "anchors").where(F.arrays_overlap("terms", "anchors"))
+    words = lines.select("row", "sentence", "line", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")).join(F.broadcast(by_term), ["sentence", "term"])
+    found = words.groupBy("row", "line", "license", "sentence").agg(
         F.array_sort(F.collect_list(F.struct("pos", "term", "w", "tf", "at"))).alias("occurs"), *[F.first(c).alias(c) for c in ("n", "length", "norm", "need")])
     found = found.where(enough(F.array_distinct(F.transform("occurs", lambda x: F.struct(x["term"], x["tf"], x["w"])))))
     scored = found.select("row", "license", best_window(*map(F.col, ("occurs", "n", "length", "norm", "need"))).alias("score"))
