@@ -1,9 +1,10 @@
 """LM scoring: prediction by partial matching over bytes, pretrained on the training documents.
 
-Counting. Every text (A-Z lower-cased), between ``DEPTH`` zero bytes and the one that
-ends it, gives the runs of DEPTH + 1 bytes (DEPTH of context, 1 symbol) at all positions.
-Tasks count runs with numpy by block of documents, and Spark sums the counts of the
-training texts, so all contexts of all training texts are kept, however many they are.
+Counting. Every text (A-Z lower-cased), between ``DEPTH`` marks and the one that ends it,
+gives the runs of DEPTH + 1 bytes (DEPTH of context, 1 symbol) at all positions. The mark is
+byte 0xFF, which UTF-8 never has, so texts with zero bytes are told from their ends. Tasks
+count runs with numpy and Spark sums the counts of the training texts, so all contexts of all
+training texts are kept, however many they are.
 
 Model. A context's distribution escapes by method C (distinct / (total + distinct)) to
 that of the context without its oldest byte, where the symbols seen are excluded; below
@@ -11,14 +12,15 @@ order 0 the symbols left share evenly. Only the counts of order 0 and 1 (65,536
 are broadcast. Runs are dealt by the two bytes before their symbol, so a task has
 all contexts that end in these, and writes the log-probability of every run once as a table.
 
-Scoring. The runs of a block of documents are looked up in that table by a join, each
-distinct run once for a block, and a text's code length is the sum over its positions.
+Scoring. A text's code length is the sum over its positions. A model of at most ``SHARED``
+runs (12 bytes each) is counted first and then broadcast. A larger one stays a table: the distinct
+runs of each block of documents are looked up in it by a join. Both give the same scores.
 
 Base. Words are looked up by block of documents: a block's distinct words meet the
 corpus counts in a join, so a frequent word travels once for each block, not once
 for each document.
 
-Cases: null and empty texts score their end alone (a token in the base, a zero byte in the model); without
+Cases: null and empty texts score their end alone (a token in the base, the mark in the model); without
 training documents the model is uniform and the counts are 0; repeated ids are rows
 of their own; null ids train and are scored like others (their text form is empty).
 Only id and text are read.
@@ -27,7 +29,7 @@ Only id and text are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,11 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import table
 
-DEPTH, ORDER, BLOCK_BYTES, HELD_OUT, FOLDS = 4, 3, 8 << 20, 2, 7  # ORDER: of the plain trie
+DEPTH, ORDER, BLOCK_BYTES, SHARED, HELD_OUT, FOLDS, MARK = 5, 3, 8 << 20, 6_000_000, 2, 7, 0xFF  # ORDER: of the plain trie
 END = b""  # no word is empty
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 ENCODED = "block string, word binary, number int, code bigint, seen bigint, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, bytes binary"
+SCORED = "block string, doc_id bigint, held_out boolean, n_tokens bigint, ids binary, score double"
 
 
 def held_out(doc: int | None) -> bool:
@@ -49,19 +52,19 @@ def held_out(doc: int | None) -> bool:
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z) bytes of all texts, a zero byte ending each, and their offsets."""
+    """Lower-cased (A-Z) bytes of all texts, a mark ending each, and their offsets."""
     buf, offs = T.utf8(column)
     n = len(offs) - 1
-    out = np.zeros(len(buf) + n, np.uint8)
+    out = np.full(len(buf) + n, MARK, np.uint8)
     out[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(offs))] = T.LOWER[buf]
     return out, offs + np.arange(n + 1)
 
 
 def _padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts with ``order`` zero bytes before each, and the positions of their own bytes in it."""
+    """All texts with ``order`` marks before each, and the positions of their own bytes in it."""
     n = len(offs) - 1
     at = np.arange(len(buf)) + order * (np.repeat(np.arange(n), np.diff(offs)) + 1)
-    out = np.zeros(len(buf) + order * n, np.uint8)
+    out = np.full(len(buf) + order * n, MARK, np.uint8)
     out[at] = buf
     return out, at
 
@@ -203,6 +206,7 @@ class Trie:
 
 def model(coded: DataFrame) -> DataFrame:
     """code, logp of every run of the documents, learnt from those of the training documents. coded: of ``encode``."""
+    # Held-out runs are in it too, with a count of 0.
     runs = table(coded.where(F.col("code").isNotNull()).groupBy("code").agg(F.sum("seen").alias("n")), "grams")
     pairs = np.zeros((256, 256))
     low = runs.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
@@ -229,6 +233,7 @@ def model(coded: DataFrame) -> DataFrame:
                 codes, counts, size = [code[cut:]], [n[cut:]], len(code) - cut
         if size:
             yield out(np.concatenate(codes), np.concatenate(counts))
+        T.release()
 
     dealt = runs.withColumn("near", F.shiftright("code", 8).bitwiseAND(0xFFFF)).repartition("near").sortWithinPartitions("near")
     return table(dealt.mapInArrow(run, "code bigint, logp float"), "model")
@@ -244,16 +249,16 @@ def unsqueeze(packed: bytes) -> np.ndarray:
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    """Rows by block: (block, word, number, seen in training), (block, code of a run, seen in training), and the documents."""
+    """Rows (block, word, number, seen in training), (code of a run, seen in training) by task, and the documents by block."""
     names = [x.split()[0] for x in ENCODED.split(", ")]
     kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
     def made(n: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(x.split()[0], pa.nulls(n, kinds[x.split()[1]])) for x in ENCODED.split(", ")], names=names)
 
-    def pack(block: str, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(block: str, held: list[pa.RecordBatch], runs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {END: 0}
-        docs, ids, tokens, out, squeezed, codes = [], [], [], [], [], ([], [])
+        docs, ids, tokens, out, raws, codes = [], [], [], [], [], ([], [])
         seen = np.zeros(0, np.int64)
         for batch in held:
             own_ids = batch.column("doc_id").to_pylist()
@@ -268,72 +273,128 @@ def encode(rows: DataFrame) -> DataFrame:
                     seen = np.concatenate((seen, np.zeros(max(len(number), len(seen) or 1024), np.int64)))
                 if not gone:
                     np.add.at(seen, own, 1)
-                docs.append(doc), ids.append(squeeze(own)), tokens.append(len(own)), out.append(gone), squeezed.append(zlib.compress(raw, 1))
+                docs.append(doc), ids.append(squeeze(own)), tokens.append(len(own)), out.append(gone), raws.append(raw)
         words = list(number)
         n, m = len(words), len(docs)
         yield made(n, block=pa.array([block] * n), word=pa.array(words, pa.binary()), number=pa.array(np.arange(n, dtype=np.int32)), seen=pa.array(seen[:n]))
-        code, count = counted(np.concatenate(codes[0]))
-        more = np.setdiff1d(counted(np.concatenate(codes[1]))[0], code, assume_unique=True)
-        for c, k in ((code, count), (more, np.zeros(len(more), np.int64))):
-            for i in range(0, len(c), 1 << 16):
-                own = c[i : i + (1 << 16)]
-                yield made(len(own), block=pa.array([block] * len(own)), code=pa.array(own), seen=pa.array(k[i : i + (1 << 16)]))
         yield made(m, block=pa.array([block] * m), doc_id=pa.array(docs, pa.int64()), held_out=pa.array(out, pa.bool_()), n_tokens=pa.array(tokens, pa.int64()),
-                   ids=pa.array(ids, pa.binary()), bytes=pa.array(squeezed, pa.binary()))
+                   ids=pa.array(ids, pa.binary()), bytes=pa.array(raws, pa.binary()))
+        for parts, some in zip(codes, (True, False), strict=True):
+            c, k = counted(np.concatenate(parts))
+            runs.append((c, k if some else np.zeros(len(c), np.int64)))
+
+    def summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([c for c, _ in runs]), return_inverse=True)
+        return code, np.bincount(at, weights=np.concatenate([k for _, k in runs]), minlength=len(code)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size, runs = TaskContext.get().partitionId(), 0, [], 0, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            code, seen = summed(runs)
+            for i in range(0, len(code), 1 << 17):
+                c = code[i : i + (1 << 17)]
+                yield made(len(c), code=pa.array(c), seen=pa.array(seen[i : i + (1 << 17)]))
+
         for batch in T.slices(batches, "text"):
             held.append(batch)
             size += batch.nbytes
             if size > BLOCK_BYTES:
-                yield from pack(f"{part}-{number}", held)
+                yield from pack(f"{part}-{number}", held, runs)
                 number, held, size = number + 1, [], 0
+                if len(runs) >= 8:  # a task's runs are summed before they go on, but never held without a bound
+                    runs = [summed(runs)]
+                    if len(runs[0][0]) > SHARED // 4:
+                        yield from told()
+                        runs = []
         if held:
-            yield from pack(f"{part}-{number}", held)
+            yield from pack(f"{part}-{number}", held, runs)
+        if runs:
+            yield from told()
+        T.release()
 
     return rows.mapInArrow(run, ENCODED)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+def _sums(raws: list[bytes], of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each text; of gives the distinct runs asked for, or more, and their log-probabilities."""
+    raws = [r + bytes((MARK,)) for r in raws]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+    own = grams(np.frombuffer(b"".join(raws), np.uint8), offs, DEPTH)
+    code, logp = of(own)
+    sums = np.concatenate(([0.0], np.cumsum(logp[pc.index_in(pa.array(own), value_set=pa.array(code)).to_numpy()].astype(np.float64))))
+    return sums[offs[1:]] - sums[offs[:-1]]
+
+
+def scored(texts: DataFrame, learnt: DataFrame, most: int) -> DataFrame:
+    """texts (block, doc_id, held_out, n_tokens, ids, bytes) with their score; learnt: of ``model``."""
+    names = [x.split()[0] for x in SCORED.split(", ")]
+    if learnt.count() <= most:
+        found = learnt.orderBy("code").toArrow()  # at most ``most`` rows of 12 bytes
+        shared = texts.sparkSession.sparkContext.broadcast((found.column("code").to_numpy(), found.column("logp").to_numpy()))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, logp = shared.value
+
+            def of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                c = counted(own.copy())[0]
+                return c, logp[np.searchsorted(code, c)]
+
+            for batch in T.slices(batches, "bytes", BLOCK_BYTES):
+                score = _sums(batch.column("bytes").to_pylist(), of)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(score)], names=names)
+            T.release()
+
+        return texts.mapInArrow(each, SCORED)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, "bytes", BLOCK_BYTES):
+            block = batch.column("block").to_pylist()
+            cuts = [0, *(i for i in range(1, len(block)) if block[i] != block[i - 1]), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                raws = [r + bytes((MARK,)) for r in batch.column("bytes").slice(a, b - a).to_pylist()]
+                offs = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+                code = counted(grams(np.frombuffer(b"".join(raws), np.uint8), offs, DEPTH))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([block[a]] * len(code)), pa.array(code)], names=["block", "code"])
+
+    runs = texts.select("block", "bytes").mapInArrow(distinct, "block string, code bigint").distinct().join(learnt.hint("merge"), "code")
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, logp = right.column("code").to_numpy(), right.column("logp").to_numpy()
+        return pa.table([*(left.column(n) for n in names[:-1]), pa.array(_sums(left.column("bytes").to_pylist(), lambda own: (code, logp)))], names=names)
+
+    return texts.groupBy("block").cogroup(runs.select(F.col("block").alias("of_block"), "code", "logp").groupBy("of_block")).applyInArrow(together, SCORED)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shared: int = SHARED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; shared: runs of a model to be broadcast at most."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     coded = table(encode(rows), "encoded")
     vocabulary = coded.where(F.col("word").isNotNull())
     counts = table(vocabulary.groupBy("word").agg(F.sum("seen").alias("c")).where("c > 0"), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     base = float(np.log10(n + v + 1))
-    none = lambda kind: F.lit(None).cast(kind)
-    known = vocabulary.select("block", "word", "number").join(counts, "word").select(F.col("block").alias("of_block"), "number", "c", none("bigint").alias("code"), none("float").alias("logp"))
-    runs = coded.where(F.col("code").isNotNull()).select("block", "code").join(model(coded).hint("merge"), "code")
-    known = known.unionAll(runs.select("block", none("int"), none("bigint"), "code", "logp"))
-    texts = coded.where(F.col("n_tokens").isNotNull()).select("block", "doc_id", "held_out", "n_tokens", "ids", "bytes")
+    known = vocabulary.select("block", "word", "number").join(counts.hint("merge"), "word").select(F.col("block").alias("of_block"), "number", "c")
+    texts = scored(coded.where(F.col("n_tokens").isNotNull()).select("block", "doc_id", "held_out", "n_tokens", "ids", "bytes"), model(coded), shared)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, found = right.filter(pc.is_valid(right.column("number"))), right.filter(pc.is_valid(right.column("code")))
-        number = words.column("number").to_numpy()
+        number = right.column("number").to_numpy()
         c = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-        c[number] = words.column("c").to_numpy()
-        code, logp = found.column("code").combine_chunks(), found.column("logp").to_numpy()
-        out: list[list] = [[], [], []]
-        for ids, packed in zip(left.column("ids").to_pylist(), left.column("bytes").to_pylist(), strict=True):
+        c[number] = right.column("c").to_numpy()
+        out: list[list] = [[], []]
+        for ids in left.column("ids").to_pylist():
             own = unsqueeze(ids)
             own = c[own[own < len(c)]]
             own = own[own > 0]
             out[0].append(len(own))
             out[1].append(float(np.log10(own + 1.0).sum()))
-            out[2].append(zlib.decompress(packed) + b"\0")
         tokens = left.column("n_tokens").to_numpy()
-        offs = np.concatenate(([0], np.cumsum([len(x) for x in out[2]])))
-        own = grams(np.frombuffer(b"".join(out[2]), np.uint8), offs, DEPTH)
-        # Every run of the block is in the model.
-        sums = np.concatenate(([0.0], np.cumsum(logp[pc.index_in(pa.array(own), value_set=code).to_numpy()].astype(np.float64))))
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(out[0], pa.int64()),
             "train_tokens": pa.array(np.full(len(tokens), n, np.int64)), "base_score": pa.array(np.array(out[1], float) - tokens * base),
-            "score": pa.array(sums[offs[1:]] - sums[offs[:-1]]),
+            "score": left.column("score"),
         })
 
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(together, SCHEMA)
