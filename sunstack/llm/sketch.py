@@ -61,13 +61,13 @@ def _unpack(packed: bytes, chunk: int) -> np.ndarray:
     return (np.repeat(np.arange(n), counts) << 16) | np.frombuffer(packed, np.uint16, offset=4 * n).astype(np.int64)
 
 
-def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], width: int = WIDTH, depth: int = DEPTH, most: int = 4 << 20) -> DataFrame:
-    """Merged sketch of the anchors that ``of_batch`` finds in each batch (of about ``most`` bytes) of docs: rows (chunk, bits)."""
+def build(rows: DataFrame, of_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+    """Merged sketch of the anchors that ``of_batches`` finds in the batches of a task of rows: rows (chunk, bits)."""
     chunk = min(CHUNK, width)
     per_row = 1 << (width - chunk)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [of_batch(b) for b in T.slices(batches, "text", most)]
+        found = list(of_batches(batches))
         every = np.concatenate(found) if found else np.zeros(0, T.U64)
         for r, own in enumerate(cells(every, width, depth)):
             cell, n = np.unique(own, return_counts=True)
@@ -79,6 +79,7 @@ def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], wid
                         [pa.array([r * per_row + k], pa.int32()), pa.array([_pack(c[m == 1], chunk)], pa.binary()), pa.array([_pack(c[m > 1], chunk)], pa.binary())],
                         names=["chunk", "once", "more"],
                     )
+        T.release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, twice = None, None, None
@@ -99,7 +100,7 @@ def build(docs: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], wid
         if now is not None:
             yield out()
 
-    return docs.mapInArrow(partial, CELLS).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, BITS)
+    return rows.mapInArrow(partial, CELLS).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, BITS)
 
 
 def share(sketch: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Broadcast:

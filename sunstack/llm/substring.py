@@ -52,9 +52,10 @@ class Windows:
         self.hashes = T.window_hashes(h, size)
 
 
-def anchors_of(batch: pa.RecordBatch) -> np.ndarray:
-    w = Windows(batch)
-    return sketch.distinct_runs(w.anchor, w.valid, w.doc)
+def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in T.slices(batches, "text"):
+        w = Windows(batch)
+        yield sketch.distinct_runs(w.anchor, w.valid, w.doc)
 
 
 def _runs(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, anchor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def _rows(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, anchor: np.ndarray
     )
 
 
-def candidates(docs: DataFrame, windows: Callable[[pa.RecordBatch], Windows] = Windows, anchors: Callable[[pa.RecordBatch], np.ndarray] = anchors_of,
+def candidates(docs: DataFrame, windows: Callable[[pa.RecordBatch], Windows] = Windows, anchors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] = anchors_of,
                width: int = sketch.WIDTH) -> DataFrame:
     """Runs of windows estimated repeated (anchor set), and runs covered inside their own task (anchor null)."""
     bits = sketch.share(sketch.build(docs, anchors, width), width)
