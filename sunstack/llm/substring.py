@@ -1,30 +1,32 @@
 """Substring dedup: every run of ``SIZE`` words that also starts in an earlier document goes.
 
-1. The count-min prefilter (``sketch``) counts the anchors of all windows.
-2. Windows estimated repeated are grouped inside each task first: of equal windows
-   only those of the smallest id go on, the others are covered already. What goes on
-   is one row for each run of consecutive windows with one anchor, with their hashes.
-3. Equal windows have equal anchors, so runs are dealt by anchor and read in order of
-   (anchor, id): a window seen in an earlier document of its group is covered. The
-   group key is exact to 128 bits (anchor and window hash).
+1. The count-min prefilter (``sketch``) counts the anchors of all windows. Equal windows
+   have equal anchors and an anchor is counted once for each run of windows that has it, so
+   its count is that of each of its windows or more.
+2. Windows estimated repeated go on as runs of consecutive windows with one anchor, with
+   their words. A task sends one of equal runs for the smallest id; the others are covered.
+3. Runs are dealt by anchor and read in order of (anchor, id): windows are grouped exactly,
+   by their words, and one seen in an earlier document of its group is covered.
 4. Covered positions are collected by document, and a last pass cuts the texts.
 
-The grouping inside tasks leaves a passage shared by any number of documents with at
-most one run for each task and spelling, so a common passage doesn't fill one task.
+A passage shared by any number of documents sends at most one run for each task and
+spelling, so a common passage doesn't fill one task.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing;
 rows that repeat an id belong to one document, so they don't remove each other's
-words; rows of null id count as before all others; an empty table gives an empty
-result. Only id and text are read.
+words; rows of null id count as before all others; texts of over ``SLICE`` bytes are read in
+overlapping parts; an empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,91 +34,103 @@ from . import sketch
 from . import text as T
 from .scratch import table
 
-SIZE, GRAM, FLUSH = 50, 20, 1_500_000
+SIZE, GRAM, SLICE, HELD = 50, 12, 4 << 20, 24 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-RUNS = "anchor bigint, doc_id bigint, row_key bigint, pos int, n int, hashes binary"
+RUNS = "anchor bigint, doc_id bigint, row_key bigint, pos int, n int, piece binary"
 NULL_ID = -(1 << 63)
+_SPACE, _BLANK = re.compile(b" "), re.compile(rb"[ \t-\r]")
+_FEW_WORDS = re.compile(rb"(?:[ \t-\r]+[^ \t-\r]+){0,%d}" % (SIZE - 1))
+
+
+def parts(batches: Iterator[pa.RecordBatch], most: int | None = None, overlap: int = SIZE - 1) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Batches of whole texts with 0; a longer text comes in parts of about ``most`` bytes and the next ``overlap`` words, with the number of words before."""
+    most = most or SLICE
+    for batch in T.slices(batches, "text", most):
+        if batch.num_rows > 1 or (pc.binary_length(batch.column("text"))[0].as_py() or 0) <= 2 * most:
+            yield batch, 0
+            continue
+        raw, at, base = batch.column("text")[0].as_py().encode("utf-8", "surrogatepass"), 0, 0
+        while at < len(raw):
+            blank = _BLANK.search(raw, min(at + most, len(raw)))
+            end = blank.start() if blank else len(raw)
+            tail = _FEW_WORDS.match(raw, end)[0] if overlap == SIZE - 1 else b""
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([raw[at:end] + tail], pa.large_binary())], names=["doc_id", "row_key", "text"]), base
+            base += len(raw[at:end].split())
+            at = end
 
 
 class Windows:
-    """Window hashes and anchors of a batch of texts, by position of the first word."""
+    """Anchors of all windows of a batch of texts, by position of the first word."""
 
     def __init__(self, batch: pa.RecordBatch, size: int = SIZE, gram: int = GRAM) -> None:
         buf, offs = T.utf8(batch.column("text"))
-        w = T.Words(buf, offs)
+        self.words = w = T.Words(buf, offs)
         h = w.hashes()
         self.first = w.first
         self.valid = T.window_starts(w.first, size, len(h))
         self.doc = w.doc[: len(self.valid)]
         self.anchor = sketch.anchors(T.window_hashes(h, gram), size - gram + 1, self.valid) if len(self.valid) else h[:0]
-        self.hashes = T.window_hashes(h, size)
+
+    def pieces(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """Words first to last - 1 of each range, joined by single spaces."""
+        w = self.words
+        length = w.ends - w.starts + 1
+        base = np.cumsum(length) - length
+        joined = np.full(int(length.sum()), 0x20, np.uint8)
+        # Bytes of words stand one after another with one space after each.
+        word = ~T.SPACE[w.buf]
+        joined[np.arange(int(word.sum())) + np.repeat(np.arange(len(length)), length - 1)] = w.buf[word]
+        data = joined.tobytes()
+        return pa.array([data[a:b] for a, b in zip(base[first].tolist(), (base[last - 1] + length[last - 1] - 1).tolist(), strict=True)], pa.binary())
 
 
 def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for batch in T.slices(batches, "text"):
+    for batch, _ in parts(batches):
         w = Windows(batch)
         yield sketch.distinct_runs(w.anchor, w.valid, w.doc)
 
 
-def _runs(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, anchor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end indexes of maximal runs of consecutive positions of one row (and one anchor), in sorted order."""
-    new = np.ones(len(doc), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    if anchor is not None:
-        new[1:] |= anchor[1:] != anchor[:-1]
-    starts = np.flatnonzero(new)
-    return starts, np.append(starts[1:], len(doc))
-
-
-def _rows(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, anchor: np.ndarray | None, h: np.ndarray | None) -> pa.RecordBatch:
-    order = np.lexsort((pos, key, doc))
-    doc, key, pos = doc[order], key[order], pos[order]
-    anchor, h = (None, None) if anchor is None else (anchor[order], h[order])
-    a, b = _runs(doc, key, pos, anchor)
-    n = len(a)
-    hashes = pa.nulls(n, pa.binary()) if h is None else pa.array([h[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor[a].view(np.int64)), pa.array(doc[a]), pa.array(key[a]),
-         pa.array(pos[a].astype(np.int32)), pa.array((b - a).astype(np.int32)), hashes],
-        names=["anchor", "doc_id", "row_key", "pos", "n", "hashes"],
-    )
-
-
-def candidates(docs: DataFrame, windows: Callable[[pa.RecordBatch], Windows] = Windows, anchors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] = anchors_of,
-               width: int = sketch.WIDTH) -> DataFrame:
-    """Runs of windows estimated repeated (anchor set), and runs covered inside their own task (anchor null)."""
-    bits = sketch.share(sketch.build(docs, anchors, width), width)
-
-    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, key, pos, anchor, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        if not len(doc):
-            return
-        order = np.lexsort((doc, h, anchor))
-        sa, sh, sd = anchor[order], h[order], doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sa[1:] != sa[:-1]) | (sh[1:] != sh[:-1])
-        least = sd[np.flatnonzero(new)][np.cumsum(new) - 1]
-        go = np.empty(len(order), bool)
-        go[order] = sd == least
-        yield _rows(doc[go], key[go], pos[go], anchor[go], h[go])
-        if not go.all():
-            yield _rows(doc[~go], key[~go], pos[~go], None, None)
+def candidates(docs: DataFrame, width: int = sketch.WIDTH) -> DataFrame:
+    """Runs of windows estimated repeated (anchor and piece set), and runs equal to one of a smaller id in their task (both null)."""
+    bits = sketch.share(sketch.build(docs, anchors_of, width), width)
+    names = [x.split()[0] for x in RUNS.split(", ")]
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, doc, key, pos, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
+        piece = pa.concat_arrays([x[5] for x in held])
+        number = piece.dictionary_encode().indices.to_numpy()  # equal by their bytes
+        least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, number, doc)
+        go = doc == least[number]
+        for some in (go, ~go):
+            k = int(some.sum())
+            if k:
+                anchors, pieces = (pa.array(anchor[some].view(np.int64)), piece.filter(pa.array(some))) if some is go else (pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()))
+                yield pa.RecordBatch.from_arrays([anchors, pa.array(doc[some]), pa.array(key[some]), pa.array(pos[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pieces], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in T.slices(batches, "text"):
-            w = windows(batch)
+        for batch, base in parts(batches):
+            w = Windows(batch)
             at = np.flatnonzero(w.valid)
             at = at[sketch.repeated(w.anchor[at], bits.value, width)]
-            row = w.doc[at]
+            if not len(at):
+                continue
+            row, anchor = w.doc[at], w.anchor[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+            head = np.flatnonzero(new)
+            n, r = np.diff(np.append(head, len(at))), row[head]
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
-            held.append((ids[row], keys[row], at - w.first[row], w.anchor[at], w.hashes[at]))
-            size += len(at)
-            if size >= FLUSH:
+            piece = w.pieces(at[head], at[head] + n - 1 + SIZE)
+            held.append((anchor[head], ids[r], keys[r], base + at[head] - w.first[r], n, piece))
+            size += piece.nbytes
+            if size >= HELD:
                 yield from flush(held)
                 held, size = [], 0
         if held:
             yield from flush(held)
+        T.release()
 
     return docs.mapInArrow(run, RUNS)
 
@@ -127,25 +141,31 @@ def covered(found: DataFrame) -> DataFrame:
     shared = found.where(F.col("anchor").isNotNull())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, {}  # window hash -> smallest id, within one anchor
+        now, seen, whole = None, {}, {}  # words of a window, of a run -> smallest id, within one anchor
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
-            for anchor, doc, key, pos, blob in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row_key", "pos", "hashes")), strict=True):
+            for anchor, doc, key, pos, n, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row_key", "pos", "n", "piece")), strict=True):
                 if anchor != now:
-                    now, seen = anchor, {}
+                    now, seen, whole = anchor, {}, {}
+                if whole.setdefault(piece, doc) != doc:  # the run itself came before
+                    for c, v in zip(out, (doc, key, pos, n), strict=True):
+                        c.append(v)
+                    continue
+                starts = [0, *(m.end() for m in _SPACE.finditer(piece))]
+                ends = [*(s - 1 for s in starts[1:]), len(piece)]
                 start = None
-                hashes = np.frombuffer(blob, np.int64).tolist()
-                for i, h in enumerate(hashes):
-                    if seen.setdefault(h, doc) != doc:
+                for i in range(n):
+                    if seen.setdefault(piece[starts[i] : ends[i + SIZE - 1]], doc) != doc:
                         start = i if start is None else start
                     elif start is not None:
                         for c, v in zip(out, (doc, key, pos + start, i - start), strict=True):
                             c.append(v)
                         start = None
                 if start is not None:
-                    for c, v in zip(out, (doc, key, pos + start, len(hashes) - start), strict=True):
+                    for c, v in zip(out, (doc, key, pos + start, n - start), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "row_key", "pos", "n"])
+        T.release()
 
     dealt = shared.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     return local.unionAll(dealt.mapInArrow(judge, "doc_id bigint, row_key bigint, pos int, n int"))
