@@ -12,14 +12,18 @@
 4. Inside each family the full sets are intersected exactly, and again only stars of
    confirmed links go on. So the rows sent grow with texts, not with pairs, and a
    link is only lost if its texts share none of 32 bands (about 6e-11 at 0.85) or
-   their signatures agree in fewer bins than seven deviations below expectation.
-5. Components of the confirmed stars name each text's smallest reachable id.
+   their signatures agree in fewer bins than seven deviations below expectation, with
+   as many bins as the smaller set can fill on its own counted as independent.
+5. Components of the confirmed stars, and of ids that have several sets, name each text's
+   smallest reachable id.
 
-Buckets and families over ``BLOCK`` texts are dealt as pairs of blocks, so no task
-holds more than two blocks and every pair of texts still meets.
+Large buckets and families are dealt in blocks, each with the group's centre (the smallest id). What a
+block links with the centre is done: it is in one component. Only the texts left over meet all
+blocks, in blocks of their own. So copies grow with the group and, times the blocks, with what its
+centre doesn't reach; no pair is left out, and a task holds two blocks at most.
 
 Cases: null and empty texts have the empty set and link with nothing; texts of one or
-two words have their whole sequence as the one shingle; a repeated id is one vertex;
+two words have their whole sequence as the one shingle; a repeated id is one vertex, whatever its texts;
 null ids are one vertex that counts as the smallest; an empty table gives an empty
 result. Only id and text are read.
 """
@@ -37,7 +41,7 @@ from . import text as T
 from .components import components
 from .scratch import table
 
-BINS, BANDS, BLOCK = 128, 32, 1000
+BINS, BANDS, BLOCK, SHINGLES = 128, 32, 1000, 2_000_000  # texts and shingles of a block
 SIGNED = "doc_id bigint, n_shingles bigint, fa bigint, fb bigint, bands array<bigint>, sig binary"
 NULL_ID = -(1 << 63)
 
@@ -114,18 +118,11 @@ def sign(rows: DataFrame, size: int = 3) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), bands, pa.array([s.tobytes() for s in small], pa.binary())],
                 names=["doc_id", "n_shingles", "fa", "fb", "bands", "sig"],
             )
+        T.release()
 
     return rows.mapInArrow(run, SIGNED)
 
 
-def _blocked(members: DataFrame, key: str, size: Column) -> DataFrame:
-    """Copy the members of groups over BLOCK to pairs of blocks (_i <= _j); smaller groups are the pair (0, 0)."""
-    n = F.ceil(size / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    return members.withColumn("_n", n).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn(
-        "_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_n", "_own", "_other")
-
-
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
     """Rows of equal first columns, from a stream sorted by them."""
     now, held = None, []
@@ -140,23 +137,33 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         yield held
 
 
-def _stars(batches: Iterator[pa.RecordBatch], n_keys: int, chains) -> Iterator[pa.RecordBatch]:
-    """Star edges (u, v): every id of a chain with its smallest id; chains gives index lists of one group's rows."""
+def _stars(batches: Iterator[pa.RecordBatch], n_keys: int, chains, leave: bool) -> Iterator[pa.RecordBatch]:
+    """Star edges (u, v): every id of a chain with its smallest id; chains gives index lists of one group's rows.
+
+    Rows are keys, id, payload; the last key tells whether the group has more blocks. If it has, and leave is set, ids outside the chain
+    of the first row (the centre) come out as (key, id, null)."""
+    keys: list[int] = []
     u: list[int] = []
-    v: list[int] = []
+    v: list[int | None] = []
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["key", "u", "v"])
 
     for rows in _groups(batches, n_keys):
+        left = {r[n_keys] for r in rows} if leave and rows[0][n_keys - 1] else set()
         if len(rows) > 1:
             for chain in chains(rows):
                 ids = sorted({rows[i][n_keys] for i in chain})
                 u += ids[1:]
                 v += [ids[0]] * (len(ids) - 1)
+                if rows[0][n_keys] in ids:
+                    left.difference_update(ids)
+        keys += [rows[0][0]] * (len(u) - len(keys) + len(left))
+        u += left
+        v += [None] * len(left)
         if len(u) > 50_000:
             yield out()
-            u, v = [], []
+            keys, u, v = [], [], []
     if u:
         yield out()
 
@@ -178,16 +185,20 @@ def _chained(n: int, near) -> Iterator[list[int]]:
         yield chain
 
 
-def least_agreeing(num: int) -> int:
-    """Bins in which signatures of linked texts agree at least: seven deviations below the number expected."""
+def least_agreeing(num: int, n: np.ndarray) -> np.ndarray:
+    """Bins in which signatures of linked texts agree at least, by the number of shingles: seven deviations below the number expected.
+
+    A set of n fills BINS * (1 - exp(-n / BINS)) bins by itself; the others repeat them."""
     p = num / 100
-    return int(BINS * (p - 7 * (p * (1 - p) / BINS) ** 0.5))
+    filled = np.maximum(BINS * -np.expm1(-np.asarray(n, float) / BINS), 1)
+    return np.maximum(BINS * (p - 7 * (p * (1 - p) / filled) ** 0.5), 0).astype(np.int64)
 
 
-def _bucket_chains(least: int):
+def _bucket_chains(num: int):
     def chains(rows: list[tuple]) -> Iterator[list[int]]:
         sig = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8).reshape(len(rows), -1)
-        return _chained(len(rows), lambda i, left: (sig[left] == sig[i]).sum(axis=1) >= least)
+        least = least_agreeing(num, np.array([r[-2] for r in rows]))
+        return _chained(len(rows), lambda i, left: (sig[left] == sig[i]).sum(axis=1) >= np.minimum(least[left], least[i]))
 
     return chains
 
@@ -216,32 +227,61 @@ def _exact_chains(num: int, size: int):
     return chains
 
 
+def _dealt(groups: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    return groups.select(*keys, "doc_id", *payload).repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+
+
+def linked(members: DataFrame, blocks: Column, payload: list[str], chains, name: str) -> DataFrame:
+    """Star edges (u, v) of all groups. members: key, doc_id, payload and the columns of ``blocks``, the number of a group's blocks."""
+    edges = "key bigint, u bigint, v bigint"
+    placed = members.withColumn("_n", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
+    centres = placed.where("_n > 1").groupBy("key").agg(F.min("doc_id").alias("_c")).select("key", "_c")
+    centre = placed.where("_n > 1").join(centres.hint("merge"), "key").where(F.col("doc_id") == F.col("_c")).drop("_c").dropDuplicates(["key"])
+    centre = centre.withColumn("_own", F.col("_i")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).where("_i != _own").drop("_own")
+    first = placed.unionByName(centre).withColumn("_more", F.col("_n") > 1)
+    keys = ["key", "_i", "_more"]
+    stars = table(_dealt(first, keys, payload).mapInArrow(lambda it: _stars(it, 3, chains, True), edges), name)
+    rest = stars.where(F.col("v").isNull()).select("key", F.col("u").alias("doc_id")).distinct()
+    found = stars.where(F.col("v").isNotNull()).select("u", "v")
+    if rest.isEmpty():
+        return found
+    counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_r")).withColumn("_r", F.ceil(F.col("_r") / BLOCK).cast("int"))
+    again = placed.join(counts.hint("merge"), "key")
+    over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    every = again.withColumn("_j", over("_r"))
+    left = again.join(rest.hint("merge"), ["key", "doc_id"], "left_semi").withColumn("_j", F.pmod(F.xxhash64("doc_id"), F.col("_r")).cast("int")).drop("_i").withColumn("_i", over("_n"))
+    met = _dealt(every.unionByName(left), ["key", "_i", "_j"], payload).mapInArrow(lambda it: _stars(it, 3, chains, False), edges)
+    return found.unionAll(met.select("u", "v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, size: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; linked: 100 * intersection >= num * union of the shingle sets."""
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = table(sign(base, size), "signed")
     classes = signed.where("n_shingles > 0").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = table(signed.select("doc_id", "n_shingles", "fa", "fb").join(classes.hint("merge"), ["fa", "fb", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
-    alone = members.where(F.col("rep") == F.col("doc_id")).select("doc_id").distinct()
     # Merge joins at every size: a side that grows with the corpus is never broadcast, however small it is today.
-    reps = signed.join(alone.hint("merge"), "doc_id", "left_semi")
+    members = table(signed.select("doc_id", "n_shingles", "fa", "fb").join(classes.hint("merge"), ["fa", "fb", "n_shingles"], "left"), "members")
+    # A row for each representative and set: an id with several sets may stand for several classes.
+    alone = members.where(F.col("rep") == F.col("doc_id")).select("doc_id", "fa", "fb").distinct()
+    reps = signed.join(alone.hint("merge"), ["doc_id", "fa", "fb"], "left_semi").dropDuplicates(["doc_id", "fa", "fb"])
 
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
+    keys = reps.select("doc_id", "n_shingles", "sig", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = _blocked(keys.join(crowded.hint("merge"), "key"), "key", F.col("n")).join(reps.select("doc_id", "sig").hint("merge"), "doc_id")
-    buckets = buckets.select("key", "_i", "_j", "doc_id", "sig").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "doc_id")
-    near = _bucket_chains(least_agreeing(num))
-    rough = buckets.mapInArrow(lambda it: _stars(it, 3, near), "u bigint, v bigint")
-
-    linked = components(rough)
-    families = linked.select(F.col("u").alias("doc_id"), F.col("v").alias("family")).unionAll(linked.select("v", "v").distinct().toDF("doc_id", "family"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    placed = _blocked(families.join(sizes.hint("merge"), "family"), "family", F.col("n"))
-    texts = placed.join(base.hint("merge"), "doc_id").select("family", "_i", "_j", "doc_id", "text").repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j", "doc_id")
-    exact = _exact_chains(num, size)
-    roots = components(texts.mapInArrow(lambda it: _stars(it, 3, exact), "u bigint, v bigint"))
-
-    told = members.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("_root")).hint("merge"), "rep", "left")
-    component = F.coalesce("_root", "rep", "doc_id")
+    rough = linked(keys.join(crowded.hint("merge"), "key"), F.col("n") / BLOCK, ["n_shingles", "sig"], _bucket_chains(num), "rough")
+
+    near = components(rough)
+    families = near.select(F.col("u").alias("doc_id"), F.col("v").alias("key")).unionAll(near.select("v", "v").distinct().toDF("doc_id", "key"))
+    families = families.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("m")).hint("merge"), "doc_id")
+    sizes = families.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("_m"))
+    texts = families.join(sizes.hint("merge"), "key").join(base.withColumn("_h", F.xxhash64("text")).hint("merge"), "doc_id").dropDuplicates(["key", "doc_id", "_h"])
+    stars = linked(texts, F.greatest(F.col("n") / BLOCK, F.col("_m") / SHINGLES), ["text"], _exact_chains(num, size), "exact")
+
+    own = members.where(F.col("rep").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("_rep"), F.max("rep").alias("_other"))
+    several = members.where(F.col("rep").isNotNull()).join(own.where("_rep < _other").select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "rep").distinct()
+    roots = components(stars.unionAll(several.toDF("u", "v")))
+
+    told = members.select("doc_id", "n_shingles").join(own.select("doc_id", "_rep").hint("merge"), "doc_id", "left")
+    told = told.join(roots.select(F.col("u").alias("_rep"), F.col("v").alias("_root")).hint("merge"), "_rep", "left")
+    component = F.coalesce("_root", "_rep", "doc_id")
     back = lambda c: F.when(c != NULL_ID, c)
     return told.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
