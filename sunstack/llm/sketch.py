@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import text as T
 
-WIDTH, DEPTH, CHUNK = 26, 3, 22
+WIDTH, DEPTH, CHUNK = 26, 3, 20
 CELLS = "chunk int, once binary, more binary"  # cells of a chunk touched once, more often
 BITS = "chunk int, bits binary"
 
