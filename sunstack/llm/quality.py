@@ -1,14 +1,14 @@
 """Quality rules [native]: heuristics and a hashed n-gram log-likelihood ratio.
 
 Every document gets the mean, over its word n-grams (``orders``: unigrams, bigrams or both), of
-log(p_target / p_raw), where both multinomials live on ``buckets`` hash buckets
-with add-``alpha`` smoothing. The raw multinomial counts every document of the
+log(p_target / p_raw), where both multinomials of an order live on ``buckets`` hash
+buckets of its own with add-``alpha`` smoothing (``PAIR_ALPHA`` for pairs, which are seen less). The raw multinomial counts every document of the
 corpus; the target multinomial counts the trusted documents, a bounded sample
 (``most_trusted`` ids, the smallest by hash, so the choice is reproducible) of
 those labelled as good. A document is kept when it passes the rules and its mean
 is at least ``threshold``; nothing is drawn at random. The production run
-(``PRODUCTION``) takes words and pairs of words on 2**16 buckets: on labelled
-documents outside the sample it keeps the good ones, and fewer bad ones than words alone.
+(``PRODUCTION``) takes words and pairs of words: on labelled documents outside the
+sample it keeps the good ones, and fewer bad ones than words alone.
 
 Cases: a null or empty text has no words, no n-grams, score 0 and fails the rules
 (fewer than ``least_words`` words). Repeated ids are independent rows. Without
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, ALPHA, MOST_TRUSTED, THRESHOLD, ORDERS = 1 << 14, 1.0, 20_000, -0.2, (1,)
-PRODUCTION = {"orders": (1, 2), "buckets": 1 << 16, "threshold": -0.12}
+PAIR_ALPHA, PRODUCTION = 10.0, {"orders": (1, 2), "buckets": 1 << 16}
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 BLANKS, SYMBOLS = " \t\n\u000b\f\r", "#*$%&|<>"
 
@@ -46,6 +46,10 @@ def _bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(buckets - 1).cast("int")
 
 
+def _buckets(grams: Column, buckets: int, table: int) -> Column:
+    return F.transform(grams, lambda h: _bucket(h, buckets) + table * buckets)
+
+
 def trusted_ids(labels: DataFrame, id_col: str, good: Column, most: int = MOST_TRUSTED) -> DataFrame:
     """At most ``most`` distinct ids of good rows, the smallest by hash: small enough to broadcast."""
     return (labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct()
@@ -54,22 +58,28 @@ def trusted_ids(labels: DataFrame, id_col: str, good: Column, most: int = MOST_T
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             buckets: int = BUCKETS, alpha: float = ALPHA, orders: tuple[int, ...] = ORDERS) -> list[float]:
-    """log(p_target / p_raw) of every bucket; counts cover all documents, the result has ``buckets`` numbers."""
+    """log(p_target / p_raw) of every bucket of every order; counts cover all documents, the result has ``buckets`` numbers for each order."""
     read = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
     read = read.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left").withColumn("_t", F.col("_trusted").isNotNull().cast("long"))
     if orders == (1,):
-        found = read.select("_t", F.explode("_w").alias("_x")).select("_t", F.xxhash64("_x").alias("_x"))
+        found = read.select("_t", F.explode("_w").alias("_x")).select("_t", _bucket(F.xxhash64("_x"), buckets).alias("bucket"))
     else:
         hashed = read.select("_t", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-        found = hashed.select("_t", F.explode(F.concat(*[F.col("_h") if o == 1 else _pairs(F.col("_h"), 1) for o in orders])).alias("_x"))
-    counts = found.groupBy(_bucket(F.col("_x"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("target"))
-    raw, target = [0] * buckets, [0] * buckets
+        grams = {1: F.col("_h"), 2: _pairs(F.col("_h"), 1)}
+        found = hashed.select("_t", F.explode(F.concat(*[_buckets(grams[o], buckets, k) for k, o in enumerate(orders)])).alias("bucket"))
+    counts = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("target"))
+    raw, target = [0] * (buckets * len(orders)), [0] * (buckets * len(orders))
     for row in counts.collect():  # a row for each bucket at most
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    n_raw, n_target = sum(raw) + alpha * buckets, sum(target) + alpha * buckets
     if not sum(target):
-        return [0.0] * buckets
-    return [math.log((t + alpha) / n_target) - math.log((r + alpha) / n_raw) for r, t in zip(raw, target, strict=True)]
+        return [0.0] * len(raw)
+    out = []
+    for k, order in enumerate(orders):
+        a = alpha if order == 1 else PAIR_ALPHA
+        own = range(k * buckets, (k + 1) * buckets)
+        n_raw, n_target = (sum(x[i] for i in own) + a * buckets for x in (raw, target))
+        out += [math.log((target[i] + a) / n_target) - math.log((raw[i] + a) / n_raw) for i in own]
+    return out
 
 
 def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col: str = "text",
@@ -79,7 +89,8 @@ def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col
     text, k = F.coalesce(F.col("_text"), F.lit("")), WINDOW
     hashed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_h", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)))
     grams = {1: F.col("_h"), 2: F.col("_2")}
-    total = reduce(lambda acc, o: F.aggregate(grams[o], acc, lambda a, h: a + F.get(table, _bucket(h, len(weight)))), orders, F.lit(0.0))
+    buckets = len(weight) // len(orders)
+    total = reduce(lambda acc, x: F.aggregate(grams[x[1]], acc, lambda a, h: a + F.get(table, _bucket(h, buckets) + x[0] * buckets)), enumerate(orders), F.lit(0.0))
     n_grams = reduce(lambda a, b: a + b, [F.size(grams[o]) for o in orders])
     one = (
         hashed.withColumn("_2", _pairs(F.col("_h"), 1)).withColumn("_4", _pairs(F.col("_2"), 2))

@@ -384,19 +384,21 @@ def test_quality_rules_of_pairs(spark, docs, none):
         h = [one(w) for w in brute.words(t)]
         # Spark hashes a row of longs by feeding the hash of one as the seed of the next.
         two = [xxhash.xxh64_intdigest((b & (1 << 64) - 1).to_bytes(8, "little"), seed=xxhash.xxh64_intdigest((a & (1 << 64) - 1).to_bytes(8, "little"), seed=42)) for a, b in zip(h, h[1:])]
-        return [x % buckets for x in h + two]
+        return [x % buckets for x in h] + [x % buckets + buckets for x in two]
 
-    raw, target = np.ones(buckets), np.ones(buckets)
+    smooth = np.repeat([1.0, quality.PAIR_ALPHA], buckets)
+    raw, target = smooth.copy(), smooth.copy()
     for d, t in corpus():
         for x in grams(t):
             raw[x] += 1
             target[x] += d % 2 and d != 203
-    weight = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = lambda x: np.log(x) - np.repeat(np.log(x.reshape(2, -1).sum(axis=1)), buckets)
+    weight = share(target) - share(raw)
     got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels, **quality.PRODUCTION).collect()}
     for d, t in corpus():
         llr = float(np.mean([weight[x] for x in grams(t)])) if brute.words(t) else 0.0
         assert math.isclose(got[d]["llr"], llr, abs_tol=1e-9)
-        assert got[d]["kept"] == (not got[d]["base_failed"] and llr >= quality.PRODUCTION["threshold"])
+        assert got[d]["kept"] == (not got[d]["base_failed"] and llr >= quality.THRESHOLD)
     assert quality.quality_rules(none, labels, **quality.PRODUCTION).count() == 0
     text = corpus()[3][1]
     pair = spark.createDataFrame([(1, text), (2, " ".join(sorted(text.split()))), (None, text), (1, text)], "doc_id bigint, text string")
