@@ -2,14 +2,20 @@
 
 Lineage is cut with Parquet tables under ``spark.checkpoint.dir``: they survive
 the loss of any executor, are column-pruned on every later read and are never
-node-local. Only where that setting is absent (tests, a laptop) a temporary
-folder of the one machine is used.
+node-local. Where that setting is absent a local master (tests, a laptop) gets a temporary
+folder of its one machine; on a cluster that is an error.
+
+A table stays as long as a frame may read it: ``dropping`` deletes those made inside it
+but for the ones kept, and what is left goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +24,13 @@ _made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir, or a folder of this process if it is unset."""
+    """The shared folder named by spark.checkpoint.dir, or on a local master a folder of this process if it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.conf.get("spark.master", ""), spark.conf.get("spark.app.id", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sunstack-scratch-")
     return _own[app]
@@ -33,13 +41,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/sunstack/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _made:
+        atexit.register(_at_end, spark)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_all(spark: SparkSession) -> None:
-    """Delete every table made by this process; frames built on them must not be used afterwards."""
+def _drop(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(hadoop).delete(path, True)
+        _made.remove(name)
+
+
+def _at_end(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may have ended before
+        drop_all(spark)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table made by this process; frames built on them must not be used afterwards."""
+    _drop(spark, list(_made))
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the tables made inside, but for those whose frames are put into the list."""
+    before, kept = set(_made), []
+    yield kept
+    files = {f for df in kept for f in df.inputFiles()}
+    _drop(spark, [p for p in _made if p not in before and not any(p.split("://")[-1].lstrip("/") in f for f in files)])
