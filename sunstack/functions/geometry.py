@@ -109,3 +109,41 @@ def cut_geometry(cy: Column, cx: Column, off_y: Column, off_x: Column, half: int
     iy, ix = F.round(y), F.round(x)
     return F.struct((iy - half).cast("int").alias("y0"), (ix - half).cast("int").alias("x0"), (iy + half - 1).cast("int").alias("y1"), (ix + half - 1).cast("int").alias("x1"),
                     (y - iy).alias("rest_y"), (x - ix).alias("rest_x"))
+
+
+def point(y: Column, x: Column) -> Column:
+    return F.struct(y.alias("y"), x.alias("x"))
+
+
+def add(a: Column, b: Column) -> Column:
+    return point(a["y"] + b["y"], a["x"] + b["x"])
+
+
+def subtract(a: Column, b: Column) -> Column:
+    return point(a["y"] - b["y"], a["x"] - b["x"])
+
+
+def scale(a: Column, by: Column | float) -> Column:
+    return point(a["y"] * by, a["x"] * by)
+
+
+def round_point(a: Column) -> Column:
+    """The nearest whole point."""
+    return point(F.round(a["y"]), F.round(a["x"]))
+
+
+def rest(a: Column) -> Column:
+    """What rounding leaves out."""
+    return subtract(a, round_point(a))
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(a["y"] * a["y"] + a["x"] * a["x"])
+
+
+def max_norm(a: Column) -> Column:
+    return F.greatest(F.abs(a["y"]), F.abs(a["x"]))
+
+
+def city_norm(a: Column) -> Column:
+    return F.abs(a["y"]) + F.abs(a["x"])

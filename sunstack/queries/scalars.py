@@ -105,9 +105,3 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n_choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     nk = spark.range(40).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), "n")).alias("k"))
     return nk.select("n", "k", mathx.n_choose_k(F.col("n"), F.col("k")).alias("choose"))
-
-
-@query(None)
-def mandelbrot_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.range(64 * 64).select((F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"))
-    return p.select("x", "y", mathx.mandelbrot(F.col("x") / 24.0 - 2.0, F.col("y") / 24.0 - 1.3, 60).alias("n"))

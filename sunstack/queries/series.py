@@ -166,12 +166,3 @@ FROM (SELECT *, epoch_us(ts) / 86400000000.0 + 2440587.5 - 2451545.0 AS d, (epoc
 def julian_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     jd = dates.julian_day(F.col("ts"))
     return load(spark, sf_dir, "events").select("event_id", r(jd).alias("jd"), dates.time_text(F.col("ts")).alias("text"), r(dates.sidereal_time(jd), 4).alias("gmst"))
-
-
-@query(None)
-def solar_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jd = dates.julian_day(F.col("ts"))
-    p, b0, radius = dates.sun_pb(jd)
-    ra, dec = dates.sun_position(jd)
-    lat, lon = dates.to_heliographic(F.lit(300.0), F.lit(-200.0), radius, p, b0)
-    return load(spark, sf_dir, "events").select("event_id", *[r(c, 4).alias(n) for c, n in ((p, "p"), (b0, "b0"), (radius, "radius"), (ra, "ra"), (dec, "dec"), (lat, "lat"), (lon, "lon"))])
