@@ -265,9 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = members.where(F.col("rep") == F.col("doc_id")).select("doc_id", "fa", "fb").distinct()
     reps = signed.join(alone.hint("merge"), ["doc_id", "fa", "fb"], "left_semi").dropDuplicates(["doc_id", "fa", "fb"])
 
-    keys = reps.select("doc_id", "n_shingles", "sig", F.explode("bands").alias("key"))
+    keys = reps.select("doc_id", "fa", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rough = linked(keys.join(crowded.hint("merge"), "key"), F.col("n") / BLOCK, ["n_shingles", "sig"], _bucket_chains(num), "rough")
+    # Signatures only go to keys that several texts have.
+    met = keys.join(crowded.hint("merge"), "key").join(reps.select("doc_id", "fa", "n_shingles", "sig").hint("merge"), ["doc_id", "fa"]).drop("fa")
+    rough = linked(met, F.col("n") / BLOCK, ["n_shingles", "sig"], _bucket_chains(num), "rough")
 
     near = components(rough)
     families = near.select(F.col("u").alias("doc_id"), F.col("v").alias("key")).unionAll(near.select("v", "v").distinct().toDF("doc_id", "key"))
