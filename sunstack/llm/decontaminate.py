@@ -10,8 +10,8 @@ bucket of test strings by that block, and direct comparison confirms each.
 
 Short patterns would make every shift short, so patterns are searched in classes
 by length. Pattern blocks of at most ``PATTERNS_AT_ONCE`` windows are broadcast one
-after another; with more than one block their findings are merged by document, so
-the broadcast has a fixed bound and no pattern is left out.
+after another (a longer item goes in overlapping parts), and each row carries what the blocks
+so far have found, so the broadcast and what the driver holds have a fixed bound and no pattern is left out.
 
 Cases: null and empty texts have no words and no hits; items without words match
 nothing; items with null id are named "null"; repeated item rows count once and
@@ -29,11 +29,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .scratch import table
 
 WINDOW, PATTERNS_AT_ONCE = 8, 200_000
 CLASSES = (24, 12, 0)  # least pattern bytes of each class, the spaces at both ends included
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-FOUND = "row_id bigint, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
+FOUND = "doc_id bigint, text string, n_words bigint, spans array<int>, items array<string>"
 
 _FOLD = bytearray(range(256))
 for _c in (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)):
@@ -131,61 +134,65 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t"))
     for row in rows.where(F.col("t").isNotNull()).toLocalIterator():  # one partition in the driver at a time
-        n = len(fold(row["t"]))
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], row["t"]))
-        size += n
+        words = fold(row["t"])
+        for at in range(0, max(1, len(words) - WINDOW + 1), most):
+            part = words[at : at + most + WINDOW - 1]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((row["i"], b" ".join(part).decode("utf-8", "replace")))
+            size += len(part)
     if block:
         yield block
 
 
-def find(docs: DataFrame, block: list[tuple[str, str | None]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: doc_id, words, hit spans and items of one block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def find(rows: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
+    """Rows of ``FOUND``, and a column ``whole`` if there is one, with what one block of items adds."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = searchers(shared.value)
         for batch in batches:
-            rows = [hits(t.as_py(), found) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.list_(pa.int32())),
-                 pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))],
-                names=["row_id", "doc_id", "n_words", "spans", "items"],
-            )
+            own = [hits(t.as_py(), found) for t in batch.column("text")]
+            told = {
+                "n_words": pa.array([n for n, _, _ in own], pa.int64()),
+                "spans": pa.array([[*a, *b] for a, (_, b, _) in zip(batch.column("spans").to_pylist(), own, strict=True)], pa.list_(pa.int32())),
+                "items": pa.array([sorted({*a, *b}) for a, (_, _, b) in zip(batch.column("items").to_pylist(), own, strict=True)], pa.list_(pa.string())),
+            }
+            yield pa.RecordBatch.from_arrays([told.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, FOUND)
+    return rows.mapInArrow(scan, rows.schema)
 
 
-def _merged(spans: list[list[int]]) -> int:
+def _merged(spans: list[int]) -> int:
     total, end = 0, 0
-    for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
         total += max(0, b - max(a, end))
         end = max(end, b)
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    blocks = list(item_blocks(benchmark)) or [[]]
-    found = find(docs, blocks[0], id_col, text_col).withColumn("spans", F.array("spans"))
-    if len(blocks) > 1:
-        every = found
-        for block in blocks[1:]:
-            every = every.unionAll(find(docs, block, id_col, text_col).withColumn("spans", F.array("spans")))
-        found = every.groupBy("row_id", "doc_id", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, whole: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs, and its whole row as a struct if asked for."""
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("whole")] * whole
+    none = lambda kind: F.array().cast(kind)
+    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), none("array<int>").alias("spans"), none("array<string>").alias("items"), *own)
+    last: list[tuple[str, str | None]] = []
+    for block in item_blocks(benchmark):
+        if last:
+            found = table(find(found, last), "found")
+        last = block
+    found = find(found, last)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [sorted(x) for x in batch.column("items").to_pylist()]
+            items = batch.column("items").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_words"), pa.array([_merged(s) for s in batch.column("spans").to_pylist()], pa.int64()),
-                 pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                 pa.array([len(x) >= least_items for x in items])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                 pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                 pa.array([len(x) >= least_items for x in items], pa.bool_()), *(batch.column(n) for n in batch.schema.names if n == "whole")],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["whole"] * whole],
             )
 
-    return found.mapInArrow(told, SCHEMA)
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *(f for f in found.schema.fields if f.name == "whole")])
+    return found.mapInArrow(told, schema)

@@ -83,11 +83,13 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col: str = "text",
-          threshold: float = THRESHOLD, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (mean log-ratio)."""
+          threshold: float = THRESHOLD, orders: tuple[int, ...] = ORDERS, whole: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (mean log-ratio), and the whole row if asked for."""
+    rest = ["_whole"] * whole
     table = F.from_json(F.lit("[" + ",".join(repr(w) for w in weight) + "]"), "array<double>")  # folded to a constant
     text, k = F.coalesce(F.col("_text"), F.lit("")), WINDOW
-    hashed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_h", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)))
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("_whole")] * whole
+    hashed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *own).withColumn("_h", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)))
     grams = {1: F.col("_h"), 2: F.col("_2")}
     buckets = len(weight) // len(orders)
     total = reduce(lambda acc, x: F.aggregate(grams[x[1]], acc, lambda a, h: a + F.get(table, _bucket(h, buckets) + x[0] * buckets)), enumerate(orders), F.lit(0.0))
@@ -101,7 +103,7 @@ def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col
             F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("_lines"),
-            total.alias("_sum"), n_grams.alias("_grams"), "_8",
+            total.alias("_sum"), n_grams.alias("_grams"), "_8", *rest,
         )
         # (hash, position) in order of hash: a window is found twice if a neighbour has the same hash.
         .withColumn("_s", F.when(F.size(F.array_distinct("_8")) < F.size("_8"), F.sort_array(F.transform("_8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -116,9 +118,16 @@ def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col
     return two.select(
         F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), (F.col("_sum") / F.greatest("_grams", F.lit(1))).alias("llr"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), (F.col("_sum") / F.greatest("_grams", F.lit(1))).alias("llr"), *rest,
     ).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-             failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+             failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr", *rest)
+
+
+def kept_rows(docs: DataFrame, weight: list[float], **how) -> DataFrame:
+    """The rows of docs that ``score`` keeps."""
+    # A number that isn't a function of the row keeps the filter above the projections, where it can't repeat their expressions.
+    judged = score(docs, weight, whole=True, **how).select("_whole", "kept", F.monotonically_increasing_id().alias("_number"))
+    return judged.where(F.col("kept") & (F.col("_number") >= 0)).select("_whole.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,

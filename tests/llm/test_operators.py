@@ -404,3 +404,19 @@ def test_quality_rules_of_pairs(spark, docs, none):
     pair = spark.createDataFrame([(1, text), (2, " ".join(sorted(text.split()))), (None, text), (1, text)], "doc_id bigint, text string")
     scores = [(r["doc_id"], round(r["llr"], 9)) for r in quality.score(pair, weight.tolist(), orders=(1, 2)).collect()]
     assert scores.count((1, scores[0][1])) == 2 and (None, scores[0][1]) in scores and dict(scores)[2] != scores[0][1]
+
+
+def test_decontamination_of_long_items_and_odd_rows(spark, monkeypatch):
+    """An item longer than a block goes in overlapping parts; null and repeated documents are rows of their own; the whole row can come along."""
+    rng = random.Random(3)
+    items = [(1, words(rng, 95, 10**6)), (2, words(rng, 9, 10**6)), (None, words(rng, 30, 10**6)), (4, "two words")]
+    w = items[0][1].split()
+    own = [(i, " ".join(["x", *w[i : i + 9], "y"])) for i in range(0, 87)] + [(None, None), (None, items[1][1]), (90, items[1][1]), (90, items[1][1]), (91, "a two words b"), (92, "")]
+    real = decontaminate.item_blocks
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b: real(b, most=20))
+    docs = spark.createDataFrame([(d, t, "s", 7) for d, t in own], "doc_id bigint, text string, spans string, items int")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), whole=True).collect()
+    named = [("null" if i is None else i, t) for i, t in items]
+    want = sorted((str(d), *brute.op5([(0, t)], named)[0]) for d, t in own)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
+    assert sorted(map(str, ((r["whole"]["doc_id"], r["whole"]["text"], r["whole"]["spans"], r["whole"]["items"]) for r in got))) == sorted(str((d, t, "s", 7)) for d, t in own)
