@@ -1,6 +1,6 @@
 """Corpus pipeline: each stage is one operator of sunstack.llm, written as Parquet and reread by the next.
 
-Filtering stages number the rows and judge each by itself, so rows that repeat an id, or
+Filtering stages judge each row by itself, so rows that repeat an id, or
 have none, don't share a verdict. All but the last stage return the columns of their input.
 
 Cases. Quality: null, empty and short texts go, as the rules say. Near duplicates: rows of one text, or of
@@ -42,19 +42,18 @@ def _without(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows, number = _numbered(docs)
     made = quality.PRODUCTION
     trusted = quality.trusted_ids(load(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
-    weight = quality.weights(rows, trusted, buckets=made["buckets"], orders=made["orders"])
-    # Written first: a filter on the verdict would be pushed below the projections and work every expression out again and again.
-    judged = table(quality.score(rows, weight, number, orders=made["orders"]), "judged")
-    return _without(rows, number, judged.where(~F.col("kept")))
+    weight = quality.weights(docs, trusted, buckets=made["buckets"], orders=made["orders"])
+    return quality.kept_rows(docs, weight, orders=made["orders"])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: five-word shingles, similarity of 0.8 or more, the smallest id stays (null before all others)."""
     rows, number = _numbered(docs)
-    linked = table(minhash.near_duplicates(rows, number, num=80, size=5).select("doc_id", "component_id"), "linked")
+    with dropping(spark) as kept:
+        linked = table(minhash.near_duplicates(rows, number, num=80, size=5).select("doc_id", "component_id"), "linked")
+        kept.append(linked)
     groups = linked.where(F.col("doc_id") != F.col("component_id")).select("component_id").distinct()
     members = linked.join(groups.hint("merge"), "component_id", "left_semi")
     # Rows of one id are told apart by their text, then by their number.
@@ -65,7 +64,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word runs of earlier documents (the words left, joined by spaces); texts left empty go."""
-    cut = substring.substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", "row_key", "kept_text").distinct().hint("merge")
+    with dropping(spark) as made:
+        cut = table(substring.substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", "row_key", "kept_text").distinct(), "cut").hint("merge")
+        made.append(cut)
     rows = docs.join(cut, docs["doc_id"].eqNullSafe(cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["row_key"]), "left")
     kept = cut["kept_text"]
     changed = {"text": F.coalesce(kept, docs["text"])} | ({"n_chars": F.when(kept.isNull(), docs["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
@@ -74,9 +75,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window: 8 words, or the whole of an item that has fewer."""
-    rows, number = _numbered(docs)
-    hit = decontaminate.decontaminate(rows, load(spark, sf_dir, "benchmark"), number).where(F.col("n_hit") > 0)
-    return _without(rows, number, hit)
+    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), whole=True)
+    return found.where(F.col("n_hit") == 0).select("whole.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
