@@ -1,7 +1,7 @@
 """Kernels over frames: one image at a time in Arrow batches, whole patches as groups dealt by patch.
 
 Image kernels are pure maps (no shuffle). A patch's frames are the one unit that must
-meet in a task; their number is bounded by the burst (checked by ``most_frames``)."""
+meet in a task: a burst's frames cut to the patch, whatever their number."""
 
 from __future__ import annotations
 
@@ -45,18 +45,16 @@ def map_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list[
 RESULT = "patch_id int, object int, img array<double>, psf array<double>, alpha array<double>, metric double, metrics array<double>, n_frames int, status string"
 
 
-def restore_patches(cutouts: DataFrame, optics: restore.Optics, n_modes: int, most_frames: int = 2000) -> DataFrame:
+def restore_patches(cutouts: DataFrame, optics: restore.Optics, n_modes: int) -> DataFrame:
     """Fit wavefronts and deconvolve every patch; optics are broadcast. cutouts: patch_id, object, wavefront, frame_no, px.
 
-    A patch that is too large or fails comes back as one row with its status instead of stopping the job."""
+    A patch whose fit fails comes back as one row with its status instead of stopping the job."""
     shared = cutouts.sparkSession.sparkContext.broadcast(optics)
     n = optics.n
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pid = int(pdf["patch_id"].iloc[0])
         blank = lambda why: pd.DataFrame([(pid, None, None, None, None, None, None, len(pdf), why)], columns=[c.split()[0] for c in RESULT.split(", ")])
-        if len(pdf) > most_frames:
-            return blank(f"more than {most_frames} frames")
         pdf = pdf.sort_values(["object", "wavefront", "frame_no"])
         images = np.stack([np.asarray(p, float).reshape(n, n) for p in pdf["px"]])
         patch = restore.Patch(shared.value, images, pdf["object"].to_numpy(), pdf["wavefront"].to_numpy())

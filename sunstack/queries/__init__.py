@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import columns, frames, images, scalars, series
+from . import bookkeeping, columns, frames, images, kernels, scalars, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (frames, series, scalars, columns, images):
+for _module in (frames, series, scalars, columns, bookkeeping, kernels, images):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

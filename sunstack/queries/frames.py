@@ -172,9 +172,9 @@ def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PX}, {YX} SELECT frame_no, y, x, round((1.02 * x + 0.01 * y + 0.3) / (0.001 * x + 0.002 * y + 1), 6) AS px, round((-0.015 * x + 0.98 * y - 0.2) / (0.001 * x + 0.002 * y + 1), 6) AS py,
-round((0.1 + 0.9 * x + 0.02 * y * y + 0.003 * x * x * y)::DOUBLE, 6) AS wx, round((-0.2 + 1.1 * y + 0.01 * x * y)::DOUBLE, 6) AS wy FROM yx WHERE frame_no < 20""")
+round((0.1 + 0.9 * x + 0.02 * y * y + 0.003 * x * x * y)::DOUBLE, 6) AS wx, round((-0.2 + 1.1 * y + 0.01 * x * y)::DOUBLE, 6) AS wy FROM yx""")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(frames(spark, sf_dir)).where("frame_no < 20")
+    p = pixels(frames(spark, sf_dir))
     x, y = geometry.project((1.02, 0.01, 0.3, -0.015, 0.98, -0.2, 0.001, 0.002, 1.0), F.col("x"), F.col("y"))
     a, b = [0.0] * 16, [0.0] * 16
     a[0], a[4], a[2], a[9] = 0.1, 0.9, 0.02, 0.003

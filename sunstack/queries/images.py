@@ -22,30 +22,12 @@ def rounded(name: str = "px", n: int = 5):
     return F.transform(name, lambda v: F.round(v, n))
 
 
-@query
-def fft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reconstruct.map_images(frames(spark, sf_dir), lambda a: np.fft.ifft2(np.fft.fft2(a)).real, 8, 8)
-    return out.select("channel", "frame_no", rounded().alias("px"))
-
-
-@query
-def convolve_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    psf = np.outer(*[np.exp(-((np.arange(8) - 4) ** 2) / 2.0)] * 2)
-    return reconstruct.map_images(frames(spark, sf_dir), lambda a: fourier.convolve(a, psf, True), 8, 8).select("channel", "frame_no", rounded().alias("px"))
-
-
 @query
 def descatter_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain, psf = np.full((8, 8), 0.2), np.ones((3, 3))
     return reconstruct.map_images(frames(spark, sf_dir), lambda a: fourier.descatter(a, gain, psf), 8, 8).select("channel", "frame_no", rounded().alias("px"))
 
 
-@query
-def frame_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reconstruct.measure_images(frames(spark, sf_dir), lambda a: fourier.noise(a, 1.0), 8, 8, "noise")
-    return out.select("channel", "frame_no", F.round("noise", 6).alias("noise"))
-
-
 @query
 def frame_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
@@ -54,32 +36,16 @@ def frame_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("channel", "frame_no", shift.alias("shift"))
 
 
-@query
-def transform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = np.array([[0.98, 0.05, 0.3], [-0.05, 0.98, 0.2], [0.001, 0.0, 1.0]])
-    return reconstruct.map_images(frames(spark, sf_dir), lambda a: images.transform(a, m), 8, 8).select("channel", "frame_no", rounded().alias("px"))
-
-
 @query
 def inpaint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.map_images(frames(spark, sf_dir), lambda a: images.inpaint(a, a < 0.9), 8, 8).select("channel", "frame_no", rounded(n=3).alias("px"))
 
 
-@query
-def apodized_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconstruct.map_images(frames(spark, sf_dir), lambda a: fourier.apodize(a, 2), 8, 8).select("channel", "frame_no", rounded().alias("px"))
-
-
-@query
-def zernike_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(j, *zernike.noll_to_nm(j), round(zernike.covariance(j, j), 8)) for j in range(2, 61)], "j int, n int, m int, variance double")
-
-
 @query
 def restore_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of each channel's first frames as patches of 8 x 8, three wavefronts each."""
+    """Bursts of each channel's frames as patches of 8 x 8, three wavefronts each."""
     optics = restore.make_optics(8, 0.1, 1.0, 6.3e-7, [(j, "Z") for j in (2, 3, 4)], noise_filter=False)
-    f = frames(spark, sf_dir).where("frame_no < 90")
+    f = frames(spark, sf_dir)
     cut = f.select(F.col("channel").alias("patch_id"), F.lit(0).alias("object"), (F.col("frame_no") % 3).cast("int").alias("wavefront"), F.col("frame_no").cast("int").alias("frame_no"), "px")
     out = reconstruct.restore_patches(cut, optics, 3)
     return out.select("patch_id", "object", rounded("img", 3).alias("img"), F.round("metric", 6).alias("metric"), "n_frames", "status")

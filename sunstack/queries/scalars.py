@@ -39,11 +39,11 @@ def ints_to_str(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", strings.str_to_ints(text).alias("ints"))
 
 
-@query("""WITH p AS (SELECT o_custkey, unnest(string_split(printf('cam_%02d_%s_%d', o_custkey % 3, CASE WHEN o_orderstatus = 'F' THEN 'dark' ELSE 'flat' END, o_orderkey % 4), '_')) AS part, unnest(range(4)) AS pos FROM orders WHERE o_orderkey < 500),
+@query("""WITH p AS (SELECT o_custkey, unnest(string_split(printf('cam_%02d_%s_%d', o_custkey % 3, CASE WHEN o_orderstatus = 'F' THEN 'dark' ELSE 'flat' END, o_orderkey % 4), '_')) AS part, unnest(range(4)) AS pos FROM orders),
 k AS (SELECT pos, list_sort(list(DISTINCT part)) AS kinds FROM p GROUP BY ALL), n AS (SELECT *, sum(CASE WHEN len(kinds) > 1 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS i FROM k)
 SELECT string_agg(CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE '%' || i END, '_' ORDER BY pos) AS template, list(kinds ORDER BY pos) FILTER (len(kinds) > 1) AS values FROM n""")
 def file_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = load(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "dark").otherwise("flat")
     names = o.select(strings.file_name("cam_%02d_%s_%d", F.col("o_custkey") % 3, kind, F.col("o_orderkey") % 4).alias("name"))
     return strings.template(names, "name")
@@ -86,10 +86,10 @@ def noll_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nm.select("j", "n", "m", mathx.noll_j(F.col("n"), F.col("m")).alias("back"))
 
 
-@query("""SELECT p_partkey, bit_count(p_partkey)::INT AS bits, (1 << ceil(log2(p_partkey))::INT)::INT AS pow2, (bit_count(xor(p_partkey, p_partkey - 1)))::INT AS low, greatest(least(round(p_retailprice), 32767), -32768)::SMALLINT AS short FROM part WHERE p_partkey > 1""")
+@query("""SELECT p_partkey, bit_count(p_partkey)::INT AS bits, CASE WHEN p_partkey <= 1 THEN 1 ELSE (1 << ceil(log2(p_partkey))::INT)::INT END AS pow2, CASE WHEN p_partkey = 0 THEN 0 ELSE bit_count(xor(p_partkey, p_partkey - 1)) END::INT AS low, greatest(least(round(p_retailprice), 32767), -32768)::SMALLINT AS short FROM part""")
 def bit_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return load(spark, sf_dir, "part").where("p_partkey > 1").select(
+    return load(spark, sf_dir, "part").select(
         "p_partkey", arrays.bit_count(k).alias("bits"), arrays.next_power_of_two(k).alias("pow2"), arrays.lowest_set_bit(k).alias("low"), arrays.saturate(F.col("p_retailprice"), "smallint").alias("short"))
 
 

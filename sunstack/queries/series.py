@@ -122,10 +122,10 @@ def asof_pointing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.asof(clicks, views, ["user_id"], "ts", "ts", ["value"]).select("event_id", r("value").alias("value"))
 
 
-@query("""SELECT event_id, p_partkey FROM (SELECT event_id, value FROM events WHERE event_id < 2000) e JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey < 200) p ON e.value BETWEEN p_size AND p_size + 0.5""")
+@query("""SELECT event_id, p_partkey FROM events e JOIN part p ON e.value BETWEEN p_size AND p_size + 0.5""")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "value")
-    p = load(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", F.col("p_size").cast("double").alias("low"), (F.col("p_size") + 0.5).alias("high"))
+    e = load(spark, sf_dir, "events").select("event_id", "value")
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("low"), (F.col("p_size") + 0.5).alias("high"))
     return windows.range_join(e, p, "value", "low", "high", 5.0).select("event_id", "p_partkey")
 
 

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,11 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, HEADER)
 
 
-def read_frames(spark: SparkSession, path: str, discard: tuple[int, int] = (0, 0)) -> DataFrame:
+def decoded(contents: DataFrame, discard: tuple[int, int] = (0, 0)) -> DataFrame:
     """One row for each image of each file (2-D files one, cubes one for each plane), less the first and last ``discard`` planes of cubes.
 
+    contents: path and the bytes of a file, wherever they come from.
+
     A file that can't be read gives one row with null pixels and its error; nothing stops the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.string()]
@@ -90,13 +93,17 @@ def read_frames(spark: SparkSession, path: str, discard: tuple[int, int] = (0, 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FRAMES)
+    return contents.select("path", "content").mapInArrow(run, FRAMES)
+
+
+def read_frames(spark: SparkSession, path: str, discard: tuple[int, int] = (0, 0)) -> DataFrame:
+    """``decoded`` over the files of a path."""
+    return decoded(spark.read.format("binaryFile").load(path), discard)
 
 
 def encoded(frames: DataFrame, kind: str, dtype: str = "float32", low_bits: int | None = None, rice: bool = False) -> DataFrame:
     """The frames (h, w, px, header) with a column ``content``: the bytes of an ANA or FITS file each."""
-    @F.udf("binary")
-    def one(px: list[float] | None, h: int, w: int, header: str | None) -> bytes | None:
+    def bytes_of(px: np.ndarray | None, h: int, w: int, header: str | None) -> bytes | None:
         if px is None:
             return None
         image = np.asarray(px)
@@ -105,6 +112,10 @@ def encoded(frames: DataFrame, kind: str, dtype: str = "float32", low_bits: int
             return ana.encode(image, header or "", low_bits)
         return fits.encode(image, [c.ljust(80)[:80] for c in (header or "").split("\n") if c], rice)
 
+    @F.pandas_udf("binary")
+    def one(px: pd.Series, h: pd.Series, w: pd.Series, header: pd.Series) -> pd.Series:
+        return pd.Series([bytes_of(*row) for row in zip(px, h, w, header, strict=True)], dtype=object)
+
     return frames.withColumn("content", one("px", "h", "w", "header"))
 
 
