@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from sunstack.llm import brute, minhash
+import brute
+from sunstack.llm import minhash
 
 SCHEMA = "doc_id bigint, text string, key string, u int, sig string, fa int"
 

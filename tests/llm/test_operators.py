@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunstack.llm import brute, chat, decontaminate, licenses, minhash, packing, ppm, quality, queries, sharding, substring, suffix
+import brute
+from sunstack.llm import chat, decontaminate, licenses, minhash, packing, ppm, quality, queries, sharding, substring, suffix
 
 DOCS = "doc_id bigint, text string, _text string, anchor long, sig string, n_words int"
 

@@ -7,7 +7,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from sunstack.llm import brute, quality
+import brute
+from sunstack.llm import quality
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 

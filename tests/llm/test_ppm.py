@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sunstack.llm import brute, ppm
+import brute
+from sunstack.llm import ppm
 
 SYMBOLS, END = range(256), 0xFF
 

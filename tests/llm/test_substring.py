@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sunstack.llm import brute, sketch, substring
+import brute
+from sunstack.llm import sketch, substring
 
 
 def rows() -> list[tuple[int, str | None]]:
