@@ -8,7 +8,8 @@ corpus; the target multinomial counts the trusted documents, a bounded sample
 those labelled as good. A document is kept when it passes the rules and its mean
 is at least ``threshold``; nothing is drawn at random. The production run
 (``PRODUCTION``) takes words and pairs of words: on labelled documents outside the
-sample it keeps the good ones, and fewer bad ones than words alone.
+sample it keeps the good ones, and fewer bad ones than words alone. Its weights are rounded
+to ``digits`` decimals: they are a constant of the plan, whose text the driver keeps.
 
 Cases: a null or empty text has no words, no n-grams, score 0 and fails the rules
 (fewer than ``least_words`` words). Repeated ids are independent rows. Without
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, ALPHA, MOST_TRUSTED, THRESHOLD, ORDERS = 1 << 14, 1.0, 20_000, -0.2, (1,)
-PAIR_ALPHA, PRODUCTION = 10.0, {"orders": (1, 2), "buckets": 1 << 16}
+PAIR_ALPHA, PRODUCTION = 10.0, {"orders": (1, 2), "buckets": 1 << 15, "digits": 4}
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 BLANKS, SYMBOLS = " \t\n\u000b\f\r", "#*$%&|<>"
 
@@ -57,7 +58,7 @@ def trusted_ids(labels: DataFrame, id_col: str, good: Column, most: int = MOST_T
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            buckets: int = BUCKETS, alpha: float = ALPHA, orders: tuple[int, ...] = ORDERS) -> list[float]:
+            buckets: int = BUCKETS, alpha: float = ALPHA, orders: tuple[int, ...] = ORDERS, digits: int | None = None) -> list[float]:
     """log(p_target / p_raw) of every bucket of every order; counts cover all documents, the result has ``buckets`` numbers for each order."""
     read = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
     read = read.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left").withColumn("_t", F.col("_trusted").isNotNull().cast("long"))
@@ -79,7 +80,7 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
         own = range(k * buckets, (k + 1) * buckets)
         n_raw, n_target = (sum(x[i] for i in own) + a * buckets for x in (raw, target))
         out += [math.log((target[i] + a) / n_target) - math.log((raw[i] + a) / n_raw) for i in own]
-    return out
+    return out if digits is None else [round(w, digits) for w in out]
 
 
 def score(docs: DataFrame, weight: list[float], id_col: str = "doc_id", text_col: str = "text",
@@ -131,9 +132,9 @@ def kept_rows(docs: DataFrame, weight: list[float], **how) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                  orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
+                  orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, digits: int | None = None) -> DataFrame:
     """Learn the two multinomials from ``docs`` and label rows (doc_id, quality = 1 trusted), then judge every document.
 
     Write the result before filtering on ``kept``: pushed below the projections, a filter would repeat their expressions."""
     trusted = trusted_ids(labels, "doc_id", F.col("quality") == 1)
-    return score(docs, weights(docs, trusted, id_col, text_col, buckets, orders=orders), id_col, text_col, threshold, orders)
+    return score(docs, weights(docs, trusted, id_col, text_col, buckets, orders=orders, digits=digits), id_col, text_col, threshold, orders)

@@ -394,7 +394,7 @@ def test_quality_rules_of_pairs(spark, docs, none):
             raw[x] += 1
             target[x] += d % 2 and d != 203
     share = lambda x: np.log(x) - np.repeat(np.log(x.reshape(2, -1).sum(axis=1)), buckets)
-    weight = share(target) - share(raw)
+    weight = np.round(share(target) - share(raw), quality.PRODUCTION["digits"])
     got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels, **quality.PRODUCTION).collect()}
     for d, t in corpus():
         llr = float(np.mean([weight[x] for x in grams(t)])) if brute.words(t) else 0.0

@@ -144,7 +144,7 @@ def test_the_whole_run(spark, tmp_path):
             raw[x] += 1
             target[x] += d in trusted
     share = lambda x: np.log(x) - np.repeat(np.log(x.reshape(2, -1).sum(axis=1)), buckets)
-    weight = share(target) - share(raw)
+    weight = np.round(share(target) - share(raw), quality.PRODUCTION["digits"])
 
     def good(t):
         w = brute.words(t)
