@@ -44,7 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep."""
     made = quality.PRODUCTION
     trusted = quality.trusted_ids(load(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
-    weight = quality.weights(docs, trusted, buckets=made["buckets"], orders=made["orders"])
+    weight = quality.weights(docs, trusted, buckets=made["buckets"], orders=made["orders"], digits=made["digits"])
     return quality.kept_rows(docs, weight, orders=made["orders"])
 
 
