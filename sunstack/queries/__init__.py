@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bookkeeping, columns, frames, images, kernels, scalars, series, texts
+from . import bookkeeping, columns, frames, images, kernels, scalars, series, streams, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (frames, series, scalars, columns, bookkeeping, kernels, texts, images):
+for _module in (frames, series, scalars, columns, bookkeeping, kernels, texts, streams, images):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

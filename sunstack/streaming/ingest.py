@@ -5,11 +5,32 @@ so it is bounded by the lateness allowed, not by the length of the stream."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or on a local master, if that is unset, under the machine's temporary folder."""
+    named, master = spark.conf.get("spark.checkpoint.dir", ""), spark.conf.get("spark.master", "")
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named.rstrip('/') or 'file://' + tempfile.gettempdir()}/sunstack-stream/{uuid.uuid4().hex}"
+
+
+def watch_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of a folder as a stream of its files; the table may be one file or a folder of files."""
+    path = f"{folder.rstrip('/')}/{table}.parquet"
+    schema, there = spark.read.parquet(path).schema, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
 def watch_files(spark: SparkSession, folder: str, most_files: int = 50) -> DataFrame:
     """New image files of a folder, a bounded number for each trigger (back-pressure)."""
     return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most_files).load(folder)
@@ -46,3 +67,22 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> StreamingQue
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_into(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Take what is there, batch by batch, into Parquet under a shared folder, and read it back: all batches, or the last for the complete mode.
+
+    A batch is written under its number, so one that is done again replaces itself."""
+    spark, last = stream.sparkSession, []
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        last.append(number)
+
+    query = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch={max(last)}")
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/batch={n}" for n in sorted(set(last))])
