@@ -23,10 +23,16 @@ def sets(members: DataFrame, owner: str, value: str) -> DataFrame:
 
 
 def contained_in(sets_of: DataFrame, reference: DataFrame) -> DataFrame:
-    """Owners whose set lies inside the reference's one set without being equal to it; one owner (the smallest) for each set."""
-    ref = reference.select(F.col("members").alias("_ref"))
-    inside = sets_of.join(F.broadcast(ref)).where((F.size(F.array_except("members", "_ref")) == 0) & (F.col("members") != F.col("_ref")))
-    return inside.groupBy("members").agg(F.min(inside.columns[0]).alias("owner"))
+    """Owners whose set lies inside the reference's one set without being equal to it; one owner (the smallest) for each set.
+
+    Members are matched by joins, so neither the sets nor the reference need to fit anywhere."""
+    owner = sets_of.columns[0]
+    ref = reference.select(F.explode("members").alias("_v")).distinct()
+    size = ref.agg(F.count(F.lit(1))).first()[0]
+    strange = sets_of.select(owner, F.explode("members").alias("_v")).join(ref, "_v", "left_anti").select(owner).distinct()
+    # Inside the reference, a set of as many members is the reference itself.
+    inside = sets_of.join(strange, owner, "left_anti").where(F.size(F.array_distinct("members")) < size)
+    return inside.groupBy("members").agg(F.min(owner).alias("owner"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, distance, most: float | None = None) -> DataFrame:

@@ -15,11 +15,19 @@ def patch_grid(spark: SparkSession, first: tuple[int, int], last: tuple[int, int
     return spark.createDataFrame(rows, "patch_id int, iy int, ix int, cy int, cx int, y0 int, x0 int, y1 int, x1 int")
 
 
+MOST_PATCHES = 20_000
+
+
 def cutouts(frames: DataFrame, patches: DataFrame, w: int) -> DataFrame:
-    """Each patch of each frame as an array, dealt by patch: patches are a bounded plan, so they travel to the frames."""
-    rows = F.sequence(F.col("y0"), F.col("y1"))
-    cut = F.flatten(F.transform(rows, lambda y: F.slice("px", (y * w + F.col("x0") + 1).cast("int"), F.col("x1") - F.col("x0") + 1)))
-    return frames.join(F.broadcast(patches)).withColumn("px", cut)
+    """Each patch of each frame as an array: a frame is exploded into its patches where it stands, with no join and no shuffle.
+
+    patches: a plan of one frame, at most ``MOST_PATCHES`` rows (more are an error: split the plan)."""
+    plan = patches.limit(MOST_PATCHES + 1).toPandas()
+    if len(plan) > MOST_PATCHES:
+        raise ValueError(f"more than {MOST_PATCHES} patches: split the plan")
+    each = frames.withColumn("_p", F.explode(F.from_json(F.lit(plan.to_json(orient="records")), f"array<{patches.schema.simpleString()}>")))
+    cut = F.flatten(F.transform(F.sequence(F.col("_p.y0"), F.col("_p.y1")), lambda y: F.slice("px", (y * w + F.col("_p.x0") + 1).cast("int"), F.col("_p.x1") - F.col("_p.x0") + 1)))
+    return each.withColumn("px", cut).select(*frames.columns, "_p.*")
 
 
 def ramp(i: Column, n: int, margin: int, blend: int) -> Column:

@@ -16,9 +16,21 @@ def check_frames(frames: DataFrame, limit: float = LIMIT, size: int = 3) -> Data
     Only means are sorted and collected by channel, never pixels."""
     means = frames.select("channel", "frame_no", stats.mean(F.col("px")).alias("mean"))
     near = windows.median3_clamped(means, ["channel"], ["frame_no"], "mean", "_m") if size == 3 else windows.running_median(means, ["channel"], ["frame_no"], "mean", size, "_m")
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("channel").orderBy("mean", "frame_no"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("channel")))
-    middle = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("mean"))).over(Window.partitionBy("channel"))
-    return ranked.withColumn("_g", middle).select("channel", "frame_no", "mean", (F.abs(F.col("_m") - F.col("mean")) <= limit * F.col("_g")).alias("accepted"))
+    middle = upper_median(means, "channel", "mean")
+    return near.join(middle, "channel").select("channel", "frame_no", "mean", (F.abs(F.col("_m") - F.col("mean")) <= limit * F.col("median")).alias("accepted"))
+
+
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: the upper middle of each key's values, exactly, by two partial aggregates and no sort of a whole key.
+
+    A quantile sketch brackets the middle; the values inside the bracket, less than a hundredth of a large key's, are counted off exactly."""
+    q = F.percentile_approx(value, F.array(F.lit(0.497), F.lit(0.503)), 2000)
+    bounds = rows.groupBy(key).agg(F.count(value).alias("_n"), q.alias("_q"))
+    lo, hi, v = F.get("_q", 0), F.get("_q", 1), F.col(value)
+    # The next value over the bracket stands in where the middle falls just behind it.
+    sums = rows.join(bounds, key).groupBy(key).agg(
+        F.first("_n").alias("_n"), F.count_if(v < lo).alias("_below"), F.array_sort(F.collect_list(F.when((v >= lo) & (v <= hi), v))).alias("_band"), F.min(F.when(v > hi, v)).alias("_next"))
+    return sums.select(key, F.coalesce(F.get("_band", (F.floor(F.col("_n") / 2) - F.col("_below")).cast("int")), F.col("_next")).alias("median"))
 
 
 def sum_frames(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -94,3 +94,15 @@ def test_profiles(spark):
               f=mathx.almost_equal(F.lit(1.0), F.lit(1.0 + 2**-52)), g=mathx.n_choose_k(F.lit(52), F.lit(5)))
     assert {k: round(v, 9) for k, v in got.items()} == {"a": 0.5, "b": 0.5, "c": 0.5, "d": 0.5, "e": 0.0, "f": True, "g": 2598960}
     assert mathx.pix2cf(0.1, 1.0) * mathx.cf2pix(0.1, 1.0) == pytest.approx(1)
+
+
+def test_upper_median_is_exact(spark):
+    import random
+
+    from sunstack.operators import stack
+
+    rng = random.Random(3)
+    values = {k: [rng.choice((rng.random(), 0.5, 0.25)) for _ in range(n)] for k, n in enumerate((1, 2, 3, 10, 999, 1000, 20_001))}
+    df = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k int, v double").repartition(5)
+    got = {r["k"]: r["median"] for r in stack.upper_median(df, "k", "v").collect()}
+    assert got == {k: sorted(own)[len(own) // 2] for k, own in values.items()}
