@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import fourier, images, linalg, special, zernike
-from ..operators import mosaic, reconstruct, sums
+from ..operators import job, mosaic, reconstruct, sums
 from ..sources import files
 from ..sources.tables import frames, load, pixels
 from .frames import CHECKED, FR, PX, YX
@@ -230,3 +230,12 @@ def sum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sums.sum_frames(timed, calib, 8)
     micros = lambda c: F.unix_micros(F.col(c))
     return out.select("channel", "n_frames", "discarded", micros("t_beg").alias("begin_us"), micros("t_end").alias("end_us"), F.round("mean_micros", 3).alias("mean_us"), F.transform("px", lambda v: F.round(v, 6)).alias("px"))
+
+
+@query(f"""WITH {FR}, {CHECKED}, {PX}, {YX} SELECT channel AS object, y, x, round(avg(v), 6) AS v FROM yx JOIN ok USING (channel, frame_no) WHERE accepted GROUP BY ALL""")
+def flatfield_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check, cut into overlapping patches, average each, and blend: where patches agree, the mosaic is the mean image."""
+    places = [(k, 2 * (k // 3), 2 * (k % 3)) for k in range(9)]
+    patches = spark.createDataFrame([(k, y, x, y + 3, x + 3) for k, y, x in places], "patch_id int, y0 int, x0 int, y1 int, x1 int")
+    out = job.mosaics(job.results(frames(spark, sf_dir), patches, 8), 4)
+    return out.select("object", "y", "x", F.round("v", 6).alias("v"))

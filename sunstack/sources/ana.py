@@ -30,6 +30,18 @@ def read_header(data: bytes) -> dict:
     return {"dims": tuple(reversed(dims)), "kind": kind, "big": magic == MAGIC_SWAPPED or bool(subf & 128), "compressed": bool(subf & 1), "text": text, "start": blocks * BLOCK}
 
 
+def describe(data: bytes) -> tuple[list[int], str, str]:
+    """Dimensions (slowest first), element type and header text, from the header alone."""
+    head = read_header(data)
+    kind = TYPES[head["kind"]]
+    if head["compressed"]:
+        codec = COMPRESSED_HEADER.unpack_from(data, head["start"])[4]
+        if codec not in SLICE_KINDS:
+            raise ValueError(f"ANA compression {codec} isn't supported")
+        kind = {1: "u1", 2: "i2", 4: "i4"}[SLICE_KINDS[codec][0]]
+    return list(head["dims"]), str(np.dtype(kind)), head["text"]
+
+
 def decode(data: bytes) -> tuple[np.ndarray, dict]:
     """Pixels (in the machine's byte order) and header."""
     head = read_header(data)

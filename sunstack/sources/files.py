@@ -52,6 +52,15 @@ def decode(content: bytes) -> tuple[np.ndarray | None, str, str, list[str]]:
     return px, "ANA", text, [text[i : i + 80].ljust(80) for i in range(0, len(text), 80)]
 
 
+def describe(content: bytes) -> tuple[str, list[int], str | None, str, list[str]]:
+    """Format, dimensions, element type, header text and cards of a file's bytes; pixels are not decoded."""
+    if content[:6] == b"SIMPLE":
+        dims, element, cards = fits.describe(content)
+        return "FITS", dims, element, "\n".join(c.rstrip() for c in cards), cards
+    dims, element, text = ana.describe(content)
+    return "ANA", dims, element, text, [text[i : i + 80].ljust(80) for i in range(0, len(text), 80)]
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file; a file that can't be read has its error instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +68,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
             rows: list[tuple] = []
             for file, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 try:
-                    px, kind, text, cards = decode(content)
-                    dims = [] if px is None else list(px.shape)
-                    rows.append((file, kind, dims, None if px is None else str(px.dtype), dims[0] if len(dims) == 3 else int(px is not None), text, cards, None))
+                    kind, dims, element, text, cards = describe(content)
+                    rows.append((file, kind, dims, element, dims[0] if len(dims) == 3 else int(bool(dims)), text, cards, None))
                 except (ValueError, KeyError) as e:
                     rows.append((file, None, None, None, None, None, None, str(e)))
             types = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]

@@ -158,6 +158,21 @@ def decode(data: bytes) -> tuple[np.ndarray | None, list[str]]:
     return None, found[0][0]
 
 
+def describe(data: bytes) -> tuple[list[int], str | None, list[str]]:
+    """Dimensions (slowest first), element type and cards of the first image, from the headers alone."""
+    if not data.startswith(b"SIMPLE"):
+        raise ValueError("not a FITS file")
+    found = units(data)
+    for cards, _ in found:
+        h = merged(cards)
+        z = "Z" if h.get("ZIMAGE") else ""
+        dims = [int(h[f"{z}NAXIS{i + 1}"]) for i in range(int(h.get(f"{z}NAXIS", 0)))][::-1]
+        if dims and (z or h.get("XTENSION", "IMAGE") == "IMAGE"):
+            one = np.zeros(1, PIXELS[int(h[f"{z}BITPIX"])])
+            return dims, str(_scaled(one.astype(one.dtype.newbyteorder("=")), h).dtype), found[0][0] + cards if z else cards
+    return [], None, found[0][0]
+
+
 def _scaled(px: np.ndarray, h: dict) -> np.ndarray:
     zero, scale = h.get("BZERO", 0), h.get("BSCALE", 1)
     if scale == 1 and zero == 0:

@@ -167,3 +167,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("stacked")) == key(batch) and batch.count() == 18
     ingest.run_once(ingest.windowed_stack(stream, "t", "2 minutes", "1 minute", limit=12.0), "limited", "complete")
     assert sum(r["n_frames"] for r in spark.table("limited").collect()) < sum(r["n_frames"] for r in batch.collect())
+
+
+def test_headers_tell_what_pixels_would():
+    rng = np.random.default_rng(1)
+    for px in (rng.integers(0, 9, (3, 4, 5)).astype(np.int16), rng.random((6, 7)).astype(np.float32), rng.integers(0, 200, (5, 6)).astype(np.uint8)):
+        made = [ana.encode(px, "text"), fits.encode(px)]
+        if px.dtype.kind in "iu" and px.ndim == 2 or px.dtype == np.int16:
+            made.append(ana.encode(px, low_bits=3))
+        if px.dtype == np.int16:
+            made.append(fits.encode(px[0], rice=True))
+        for data in made:
+            pixels, kind, text, cards = files.decode(data)
+            assert files.describe(data) == (kind, list(pixels.shape), str(pixels.dtype), text, cards)
