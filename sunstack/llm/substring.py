@@ -1,9 +1,10 @@
 """Substring dedup: every run of ``SIZE`` words that also starts in an earlier document goes.
 
-1. The count-min prefilter (``sketch``) counts the anchors of all windows. Equal windows
-   have equal anchors and an anchor is counted once for each run of windows that has it, so
-   its count is that of each of its windows or more.
-2. Windows estimated repeated go on as runs of consecutive windows with one anchor, with
+1. The count-min prefilter (``sketch``) has two steps. The first counts the anchors of all windows:
+   equal windows have equal anchors and an anchor is counted once for each run of windows that
+   has it, so its count is that of each of its windows or more. The second counts the windows left,
+   so the many windows that only touch a common passage stop here.
+2. Windows estimated repeated by both go on as runs of consecutive windows with one anchor, with
    their words. A task sends one of equal runs for the smallest id; the others are covered.
 3. Runs are dealt by anchor and read in order of (anchor, id): windows are grouped exactly,
    by their words, and one seen in an earlier document of its group is covered.
@@ -70,6 +71,12 @@ class Windows:
         self.valid = T.window_starts(w.first, size, len(h))
         self.doc = w.doc[: len(self.valid)]
         self.anchor = sketch.anchors(T.window_hashes(h, gram), size - gram + 1, self.valid) if len(self.valid) else h[:0]
+        self.hashes = T.window_hashes(h, size)
+
+    def repeated(self, bits: np.ndarray, width: int) -> np.ndarray:
+        """Starts of windows whose anchors the first sketch estimates repeated."""
+        at = np.flatnonzero(self.valid)
+        return at[sketch.repeated(self.anchor[at], bits, width)]
 
     def pieces(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
         """Words first to last - 1 of each range, joined by single spaces."""
@@ -93,6 +100,13 @@ def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def candidates(docs: DataFrame, width: int = sketch.WIDTH) -> DataFrame:
     """Runs of windows estimated repeated (anchor and piece set), and runs equal to one of a smaller id in their task (both null)."""
     bits = sketch.share(sketch.build(docs, anchors_of, width), width)
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch, _ in parts(batches):
+            w = Windows(batch)
+            yield w.hashes[w.repeated(bits.value, width)]
+
+    counted = sketch.share(sketch.build(docs, windows_of, width), width)
     names = [x.split()[0] for x in RUNS.split(", ")]
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +126,8 @@ def candidates(docs: DataFrame, width: int = sketch.WIDTH) -> DataFrame:
         held, size = [], 0
         for batch, base in parts(batches):
             w = Windows(batch)
-            at = np.flatnonzero(w.valid)
-            at = at[sketch.repeated(w.anchor[at], bits.value, width)]
+            at = w.repeated(bits.value, width)
+            at = at[sketch.repeated(w.hashes[at], counted.value, width)]
             if not len(at):
                 continue
             row, anchor = w.doc[at], w.anchor[at]
