@@ -236,8 +236,8 @@ def linked(members: DataFrame, blocks: Column, payload: list[str], chains, name:
     edges = "key bigint, u bigint, v bigint"
     placed = members.withColumn("_n", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
     placed = table(placed.select("key", "doc_id", "_n", "_i", *payload), f"{name}_members")  # read several times
-    centres = placed.where("_n > 1").groupBy("key").agg(F.min("doc_id").alias("_c")).select("key", "_c")
-    centre = placed.where("_n > 1").join(centres.hint("merge"), "key").where(F.col("doc_id") == F.col("_c")).drop("_c").dropDuplicates(["key"])
+    # One row for each task and large group travels to find the centre, never the group.
+    centre = placed.where("_n > 1").groupBy("key").agg(F.min(F.struct("doc_id", "_n", "_i", *payload)).alias("_c")).select("key", "_c.*")
     centre = centre.withColumn("_own", F.col("_i")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).where("_i != _own").drop("_own")
     first = placed.unionByName(centre).withColumn("_more", F.col("_n") > 1)
     keys = ["key", "_i", "_more"]
