@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,3 +170,47 @@ def lowest_set_bit(v: Column) -> Column:
 def swap_bytes(v: Column, n: int) -> Column:
     """An unsigned integer of n bytes with its bytes in reverse order."""
     return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(v), 2 * n, "0"), F.lit("(..)"), 1)), ""), 16, 10).cast("bigint")
+
+
+def permute(px: Column, dims: Sequence[int], order: Sequence[int]) -> Column:
+    """The axes of a row-major array in another order (numpy's transpose)."""
+    if sorted(order) != list(range(len(dims))):
+        raise ValueError(f"{order} isn't an order of {len(dims)} axes")
+    strides = [math.prod(dims[k + 1 :]) for k in range(len(dims))]
+    new = [dims[k] for k in order]
+    inner = [math.prod(new[k + 1 :]) for k in range(len(new))]
+
+    def source(i: Column) -> Column:
+        out = F.lit(0)
+        for k, axis in enumerate(order):
+            out = out + (F.floor(i / inner[k]) % new[k]) * strides[axis]
+        return F.get(px, out.cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(math.prod(dims) - 1)), source)
+
+
+def weighted_multiply(a: Column, b: Column, weight: float | Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y * weight)
+
+
+def neighbourhood(px: Column, h: int, w: int, y: Column, x: Column, reach: int) -> Column:
+    """Elements within ``reach`` rows and columns of (y, x) that lie inside the array, row by row."""
+    rows = F.sequence(F.greatest(y - reach, F.lit(0)), F.least(y + reach, F.lit(h - 1)))
+    first, last = F.greatest(x - reach, F.lit(0)), F.least(x + reach, F.lit(w - 1))
+    return F.flatten(F.transform(rows, lambda r: F.slice(px, (r * w + first + 1).cast("int"), (last - first + 1).cast("int"))))
+
+
+def masked_total(px: Column, mask: Column) -> Column:
+    """Sum of the elements whose mask isn't 0."""
+    return F.aggregate(F.zip_with(px, mask, lambda v, m: F.when(m != 0, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+
+
+def masked_mean(px: Column, mask: Column) -> Column:
+    """Mean of the elements whose mask isn't 0; null without any."""
+    n = F.size(F.filter(mask, lambda m: m != 0))
+    return F.when(n > 0, masked_total(px, mask) / n)
+
+
+def without_border(px: Column, h: int, w: int, border: int) -> Column:
+    """The middle of an image: ``border`` rows and columns less on every side."""
+    return crop(px, w, border, border, h - 1 - border, w - 1 - border)

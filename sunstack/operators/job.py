@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import calibrate, mosaic, stack
@@ -37,3 +37,20 @@ def mosaics(result: DataFrame, n: int) -> DataFrame:
     y, x = F.floor(F.col("pos") / n), F.col("pos") % n
     tiles = p.select("object", (F.col("y0") + y).cast("int").alias("y"), (F.col("x0") + x).cast("int").alias("x"), "v", (mosaic.ramp(y, n, margin, blend) * mosaic.ramp(x, n, margin, blend)).alias("weight"))
     return mosaic.mosaic(tiles, ["object"]).select("object", "y", "x", "v")
+
+
+#: Columns of a result table that may be left out on reading.
+PARTS = ("img", "psf", "residual", "alpha", "metrics")
+
+
+def write_results(result: DataFrame, path: str, parts: tuple[str, ...] = PARTS) -> None:
+    """A result table as Parquet, one folder for each object; parts: the large columns to keep."""
+    gone = [c for c in PARTS if c in result.columns and c not in parts]
+    result.drop(*gone).write.mode("overwrite").partitionBy("object").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, parts: tuple[str, ...] = PARTS, objects: list[int] | None = None) -> DataFrame:
+    """A result table with the parts and objects asked for: others are neither listed nor read."""
+    table = spark.read.parquet(path)
+    table = table.drop(*[c for c in PARTS if c in table.columns and c not in parts])
+    return table if objects is None else table.where(F.col("object").isin(objects))

@@ -214,3 +214,17 @@ round(1.02 / tan(radians(abs(value) % 80 + 5 + 10.3 / (abs(value) % 80 + 5 + 5.1
 def local_tilts(spark: SparkSession, sf_dir: str) -> DataFrame:
     altitude = F.abs("value") % 80 + 5
     return load(spark, sf_dir, "events").select("event_id", r(dates.local_tilt(F.col("value"), F.col("user_id") % 20, 28.75), 5).alias("tilt"), r(dates.refraction(altitude)).alias("refraction"))
+
+
+@query("""WITH f AS (SELECT label AS channel, vec_id AS frame_no, list_transform(embedding, lambda e: 1 + e::DOUBLE) AS px FROM embeddings), g AS (SELECT *, list_reverse(px) AS q FROM f)
+SELECT channel, frame_no, list_transform(range(64), lambda i: round(px[((i // 4) % 4) * 16 + (i % 4) * 4 + i // 16 + 1], 6)) AS permuted, list_transform(range(1, 65), lambda i: round(px[i] * q[i] * 0.25, 6)) AS product,
+list_transform(list_filter(range(64), lambda i: abs(i // 8 - 1) <= 2 AND abs(i % 8 - 6) <= 2), lambda i: round(px[i + 1], 6)) AS near, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i % 3 = 0 THEN px[i] ELSE 0 END)), 5) AS total,
+round(list_avg(list_transform(list_filter(range(1, 65), lambda i: i % 3 = 0), lambda i: px[i])), 6) AS mean, list_transform(list_filter(range(64), lambda i: i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5), lambda i: round(px[i + 1], 6)) AS middle FROM g""")
+def array_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    px, mask = F.col("px"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 3 == 0).cast("int"))
+    six = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return f.select(
+        "channel", "frame_no", six(arrays.permute(px, (4, 4, 4), (2, 0, 1))).alias("permuted"), six(arrays.weighted_multiply(px, F.reverse(px), 0.25)).alias("product"),
+        six(arrays.neighbourhood(px, 8, 8, F.lit(1), F.lit(6), 2)).alias("near"), r(arrays.masked_total(px, mask), 5).alias("total"), r(arrays.masked_mean(px, mask)).alias("mean"),
+        six(arrays.without_border(px, 8, 8, 2)).alias("middle"))

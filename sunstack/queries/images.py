@@ -18,6 +18,10 @@ def query(f):
     return f
 
 
+#: A frame against itself moved up by a row: the shift is known.
+ORACLES["frame_shifts"] = "SELECT label AS channel, vec_id AS frame_no, [-1.0::DOUBLE, 0.0::DOUBLE] AS shift FROM embeddings"
+
+
 def rounded(name: str = "px", n: int = 5):
     return F.transform(name, lambda v: F.round(v, n))
 
