@@ -14,7 +14,6 @@ class _Bits:
 
     def __init__(self, data: bytes) -> None:
         self.bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-        self.ones = np.flatnonzero(self.bits)
         self.at = 0
 
     def take(self, n: int, signed: bool = False) -> int:
@@ -22,20 +21,47 @@ class _Bits:
         self.at += n
         return v - (1 << n) if signed and v >> (n - 1) else v
 
-    def unary(self) -> int:
-        """Bits up to the next set one, which counts."""
-        k = int(self.ones[np.searchsorted(self.ones, self.at)]) - self.at + 1
-        self.at += k
-        return k
-
     def align(self) -> None:
         self.at = -(-self.at // 8) * 8
 
-    def difference(self, low_bits: int, long_bits: int) -> int:
-        low, k = self.take(low_bits) if low_bits else 0, self.unary()
-        if k == LONG:
-            return self.take(long_bits, True)
-        return low + ((k // 2 if k & 1 else -(k // 2)) << low_bits)
+
+def _chain(jump: np.ndarray, count: int) -> np.ndarray:
+    """0, jump[0], jump[jump[0]] ...: each round doubles the places known and the length of a jump."""
+    places = np.zeros(1, np.int64)
+    while len(places) < count:
+        places = np.concatenate((places, jump[places]))
+        jump = jump[jump]
+    return places[:count]
+
+
+def _differences(bits: np.ndarray, count: int, low_bits: int, long_bits: int) -> tuple[np.ndarray, int]:
+    """``count`` differences from the start of bits, and the number of bits that they take."""
+    window = min(len(bits), count * (low_bits + 6) + 64)
+    while True:
+        own = bits[:window]
+        place = np.arange(window + 1)
+        end = np.full(window + 1, window)  # the set bit at or after each place
+        end[:window] = np.minimum.accumulate(np.where(own > 0, place[:window], window)[::-1])[::-1]
+        one = end[np.minimum(place + low_bits, window)]
+        k = one - place - low_bits + 1
+        jump = np.minimum(one + 1 + np.where(k == LONG, long_bits, 0), window)
+        starts = _chain(jump, count)
+        used = int(one[starts[-1]]) + 1 + (long_bits if k[starts[-1]] == LONG else 0)
+        if used <= window and int(one[starts].max(initial=0)) < window:
+            break
+        if window == len(bits):
+            raise ValueError("difference slices are cut short")
+        window = min(len(bits), 2 * window)
+
+    def number(at: np.ndarray, n: int) -> np.ndarray:
+        return sum((own[at + j].astype(np.int64) << j for j in range(n)), np.zeros(len(at), np.int64))
+
+    k = k[starts]
+    out = number(starts, low_bits) + (np.where(k & 1, k // 2, -(k // 2)) << low_bits)
+    raw = np.flatnonzero(k == LONG)
+    v = number(starts[raw] + low_bits + LONG, long_bits)
+    out[raw] = v - ((v >> (long_bits - 1)) << long_bits)
+    return out, used
 
 
 def slice_decode(data: bytes, h: int, w: int, low_bits: int, kind: int = 0) -> np.ndarray:
@@ -47,17 +73,23 @@ def slice_decode(data: bytes, h: int, w: int, low_bits: int, kind: int = 0) -> n
     cursor = _Bits(data)
     out = np.zeros((h, w), np.int64)
     for y in range(h):
-        row = [cursor.take(8 * size, size > 1)]
-        if not runs:
-            row += [cursor.difference(low_bits, long_bits) for _ in range(w - 1)]
-        while len(row) < w:
-            code = cursor.take(8)
-            if code > LONGEST_LITERAL:
-                row += [cursor.take(16, True)] * (257 - code)
-            else:
-                row += [cursor.difference(low_bits, long_bits) for _ in range(code)]
+        parts, left = [np.array([cursor.take(8 * size, size > 1)])], w - 1
+        while left > 0:
+            n = left
+            if runs:
+                code = cursor.take(8)
+                if code > LONGEST_LITERAL:
+                    parts.append(np.full(257 - code, cursor.take(16, True)))
+                    left -= 257 - code
+                    continue
+                n = code
+            d, used = _differences(cursor.bits[cursor.at :], n, low_bits, long_bits) if n else (np.zeros(0, np.int64), 0)
+            parts.append(d)
+            cursor.at += used
+            left -= n
+            if runs:
                 cursor.align()
-        out[y] = np.cumsum(row[:w])
+        out[y] = np.cumsum(np.concatenate(parts)[:w])
         cursor.align()
     return out.astype({1: np.uint8, 2: np.int16, 4: np.int32}[size])
 
@@ -68,17 +100,21 @@ def slice_encode(image: np.ndarray, low_bits: int, kind: int = 0) -> bytes:
     out = bytearray()
 
     def literal(differences: list[int]) -> bytes:
-        total = n = 0
-        for d in differences:
-            q = d >> low_bits
-            k = min(2 * q + 1 if q >= 0 else -2 * q, LONG)
-            total |= (d & ((1 << low_bits) - 1) if k < LONG else 0) << n
-            total |= 1 << (n + low_bits + k - 1)
-            n += low_bits + k
-            if k == LONG:
-                total |= (d & ((1 << long_bits) - 1)) << n
-                n += long_bits
-        return total.to_bytes(-(-n // 8), "little")
+        d = np.array(differences, np.int64)
+        q = d >> low_bits
+        k = np.minimum(np.where(q >= 0, 2 * q + 1, -2 * q), LONG)
+        raw = np.flatnonzero(k == LONG)
+        n = low_bits + k
+        n[raw] += long_bits
+        at = np.cumsum(n) - n
+        bits = np.zeros(int(n.sum()), np.uint8)
+        bits[at + low_bits + k - 1] = 1
+        short = np.flatnonzero(k < LONG)
+        for j in range(low_bits):
+            bits[at[short] + j] = (d[short] >> j) & 1
+        for j in range(long_bits):
+            bits[at[raw] + low_bits + LONG + j] = (d[raw] >> j) & 1
+        return np.packbits(bits, bitorder="little").tobytes()
 
     for row in image.astype(np.int64):
         out += (int(row[0]) & ((1 << 8 * size) - 1)).to_bytes(size, "little")
