@@ -24,13 +24,14 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import text as T
 from .scratch import table
 
 WINDOW, PATTERNS_AT_ONCE = 8, 200_000
@@ -146,22 +147,30 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-def find(rows: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
-    """Rows of ``FOUND``, and a column ``whole`` if there is one, with what one block of items adds."""
+def _scan(rows: DataFrame, block: list[tuple[str, str | None]], out: Callable[[pa.RecordBatch, list, list, list], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """Search one block of items in every row of ``FOUND`` (and a column ``whole`` if there is one); out makes a batch of rows, numbers of words, spans and items."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = searchers(shared.value)
         for batch in batches:
             own = [hits(t.as_py(), found) for t in batch.column("text")]
-            told = {
-                "n_words": pa.array([n for n, _, _ in own], pa.int64()),
-                "spans": pa.array([[*a, *b] for a, (_, b, _) in zip(batch.column("spans").to_pylist(), own, strict=True)], pa.list_(pa.int32())),
-                "items": pa.array([sorted({*a, *b}) for a, (_, _, b) in zip(batch.column("items").to_pylist(), own, strict=True)], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([told.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+            spans = [[*a, *b] for a, (_, b, _) in zip(batch.column("spans").to_pylist(), own, strict=True)]
+            items = [sorted({*a, *b}) for a, (_, _, b) in zip(batch.column("items").to_pylist(), own, strict=True)]
+            yield out(batch, [n for n, _, _ in own], spans, items)
+        T.release()
+
+    return rows.mapInArrow(scan, schema)
+
+
+def find(rows: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
+    """Rows with what one block of items adds."""
+
+    def out(batch: pa.RecordBatch, n_words: list[int], spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        new = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+        return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
-    return rows.mapInArrow(scan, rows.schema)
+    return _scan(rows, block, out, rows.schema)
 
 
 def _merged(spans: list[int]) -> int:
@@ -182,17 +191,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if last:
             found = table(find(found, last), "found")
         last = block
-    found = find(found, last)
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = batch.column("items").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array([_merged(s) for s in batch.column("spans").to_pylist()], pa.int64()),
-                 pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                 pa.array([len(x) >= least_items for x in items], pa.bool_()), *(batch.column(n) for n in batch.schema.names if n == "whole")],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["whole"] * whole],
-            )
-
-    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *(f for f in found.schema.fields if f.name == "whole")])
-    return found.mapInArrow(told, schema)
+    def out(batch: pa.RecordBatch, n_words: list[int], spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        arrays = [
+            batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array([_merged(s) for s in spans], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([len(x) >= least_items for x in items], pa.bool_()),
+        ]
+        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        return pa.RecordBatch.from_arrays([*arrays, *([batch.column("whole")] if whole else [])], names=[*names, *["whole"] * whole])
+
+    # The last block's search makes the result: one Python worker a task.
+    return _scan(found, last, out, StructType([*StructType.fromDDL(SCHEMA).fields, *(f for f in found.schema.fields if f.name == "whole")]))

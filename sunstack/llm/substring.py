@@ -35,7 +35,7 @@ from . import sketch
 from . import text as T
 from .scratch import table
 
-SIZE, GRAM, SLICE, HELD = 50, 12, 4 << 20, 24 << 20
+SIZE, GRAM, SLICE, HELD = 50, 12, 2 << 20, 24 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 RUNS = "anchor bigint, doc_id bigint, row_key bigint, pos int, n int, piece binary"
 NULL_ID = -(1 << 63)
