@@ -121,3 +121,8 @@ def repeated(anchor: np.ndarray, bits: np.ndarray, width: int = WIDTH, depth: in
         ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
+
+def repeated_runs(anchor: np.ndarray, bits: np.ndarray, width: int = WIDTH, depth: int = DEPTH) -> np.ndarray:
+    """``repeated`` for anchors of which many stand side by side: each run is looked up once."""
+    head = np.flatnonzero(np.append(np.ones(min(1, len(anchor)), bool), anchor[1:] != anchor[:-1]))
+    return np.repeat(repeated(anchor[head], bits, width, depth), np.diff(np.append(head, len(anchor))))

@@ -76,7 +76,7 @@ class Windows:
     def repeated(self, bits: np.ndarray, width: int) -> np.ndarray:
         """Starts of windows whose anchors the first sketch estimates repeated."""
         at = np.flatnonzero(self.valid)
-        return at[sketch.repeated(self.anchor[at], bits, width)]
+        return at[sketch.repeated_runs(self.anchor[at], bits, width)]
 
     def pieces(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
         """Words first to last - 1 of each range, joined by single spaces."""
