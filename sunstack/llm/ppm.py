@@ -72,10 +72,12 @@ def _padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray,
 def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     """The run of order + 1 bytes (oldest byte first) that ends at each position."""
     text, at = _padded(buf, offs, order)
-    code = np.zeros(len(at), np.uint32 if order < 4 else np.int64)
-    for back in range(order, -1, -1):
-        code = (code << code.dtype.type(8)) | text[at - back]
-    return code
+    n = max(0, len(text) - order)
+    code = text[:n].astype(np.uint32 if order < 4 else np.int64)
+    for k in range(1, order + 1):  # runs from every place, side by side; those that begin in another text are passed over
+        code <<= code.dtype.type(8)
+        code |= text[k : n + k]
+    return code[at - order]
 
 
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
