@@ -155,7 +155,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.regexp_extract("header", "(frame [0-9]+)", 1).alias("told"), "px")
 
 
-@query("""WITH m AS (SELECT p_partkey, p_size + 3.0::DOUBLE AS a, p_partkey % 7 - 3.0::DOUBLE AS b, p_partkey % 5 + 1.0::DOUBLE AS c, p_size * -0.5::DOUBLE - 9 AS d, p_retailprice / 100 AS u, p_retailprice / 300 - 2 AS v FROM part)
+@query("""WITH m AS (SELECT p_partkey, p_size + 3.0::DOUBLE AS a, p_partkey % 7 - 3.0::DOUBLE AS b, p_partkey % 5 + 1.0::DOUBLE AS c, p_size * -0.5::DOUBLE - 9 AS d, p_retailprice / 101 AS u, p_retailprice / 301 - 2 AS v FROM part)
 SELECT p_partkey, round((u * d - b * v) / (a * d - b * c), 6) + 0.0 AS x, round((a * v - c * u) / (a * d - b * c), 6) + 0.0 AS y, round(abs(a * d - b * c), 6) AS det, 2::INT AS rank, round(d / (a * d - b * c), 6) + 0.0 AS inv_a FROM m""")
 def linear_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 x 2 systems solved by elimination, by triangles and by pivoted reflections, which have to agree."""
@@ -176,7 +176,7 @@ def linear_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
         return v.map(one)
 
     k, s, p = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    v = load(spark, sf_dir, "part").select("p_partkey", solve(F.array((s + 3.0), (k % 7 - 3.0), (k % 5 + 1.0), (s * -0.5 - 9), p / 100, p / 300 - 2)).alias("v"))
+    v = load(spark, sf_dir, "part").select("p_partkey", solve(F.array((s + 3.0), (k % 7 - 3.0), (k % 5 + 1.0), (s * -0.5 - 9), p / 101, p / 301 - 2)).alias("v"))
     six = lambda i: F.round(F.get("v", i), 6) + 0.0
     return v.select("p_partkey", six(0).alias("x"), six(1).alias("y"), six(2).alias("det"), F.get("v", 3).cast("int").alias("rank"), six(4).alias("inv_a"))
 
