@@ -76,7 +76,7 @@ _BOX = "p_partkey % 9 AS ay0, p_size % 7 AS ax0, p_partkey % 9 + 4 AS ay1, p_siz
 
 @query(f"""WITH b AS (SELECT p_partkey, {_BOX} FROM part), i AS (SELECT *, greatest(ay0, by0) AS iy0, greatest(ax0, bx0) AS ix0, least(ay1, by1) AS iy1, least(ax1, bx1) AS ix1 FROM b)
 SELECT p_partkey, CASE WHEN iy0 <= iy1 AND ix0 <= ix1 THEN (iy1 - iy0 + 1) * (ix1 - ix0 + 1) END AS common_area, (greatest(ay1, by1) - least(ay0, by0) + 1) * (greatest(ax1, bx1) - least(ax0, bx0) + 1) AS hull_area,
-by0 BETWEEN ay0 AND ay1 AND bx0 BETWEEN ax0 AND ax1 AS holds_corner, 7 * 8 AS grown_area, 3 * 4 AS shrunk_area, true AS gone, ay0 + 2 AS gy, ax0 + 3 AS gx, sqrt((by0 - ay0) * (by0 - ay0) + (bx0 - ax0) * (bx0 - ax0))::DECIMAL(18, 6)::DOUBLE AS distance FROM i""")
+by0 BETWEEN ay0 AND ay1 AND bx0 BETWEEN ax0 AND ax1 AS holds_corner, (7 * 8)::BIGINT AS grown_area, (3 * 4)::BIGINT AS shrunk_area, true AS gone, ay0 + 2 AS gy, ax0 + 3 AS gx, sqrt((by0 - ay0) * (by0 - ay0) + (bx0 - ax0) * (bx0 - ax0))::DECIMAL(18, 6)::DOUBLE AS distance FROM i""")
 def region_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     # Corners in the wrong order are put right.

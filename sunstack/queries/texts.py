@@ -43,7 +43,7 @@ _JOB = """momfbd {{ NUM_POINTS {points} ; patch
 }}"""
 
 
-@query("""SELECT p_partkey, 1::INT AS n_objects, 2::INT AS n_channels, round(p_retailprice, 2) AS wavelength, CASE WHEN (p_size + 6) % 4 = 0 THEN 0 ELSE 1 END::INT AS n_problems, p_size + 6 AS points,
+@query("""SELECT p_partkey, 1::INT AS n_objects, 2::INT AS n_channels, round(p_retailprice, 2) AS wavelength, CASE WHEN (p_size + 6) % 4 = 0 THEN 0 ELSE 1 END::INT AS n_problems, (p_size + 6)::BIGINT AS points,
 list_transform(range(4), lambda i: '/data/cam/im.' || lpad((p_partkey % 1000 + i)::VARCHAR, 7, '0') || '.fits') AS files, [printf('d.%03d', p_partkey % 1000 + 3)] AS other_files,
 list_concat(['Z2', 'Z3', 'Z4'], list_transform(range(5, 8 + p_size % 3), lambda i: 'K' || i)) AS modes, [0.0015::DOUBLE, 0.25::DOUBLE] AS diversity, [true, false] AS physical, round(1.6e-05 * 180 * 3600 / pi() / 0.06, 6) AS focal, 'CHECKED' AS next_step FROM part""")
 def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
