@@ -247,7 +247,10 @@ def linked(members: DataFrame, blocks: Column, payload: list[str], chains, name:
     if rest.isEmpty():
         return found
     counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_r")).withColumn("_r", F.ceil(F.col("_r") / BLOCK).cast("int"))
-    again = placed.join(counts.hint("merge"), "key")
+    # Told to each block of the group, so that a large group is never joined by its key alone.
+    blocks_of = placed.where("_n > 1").select("key", "_n").distinct()
+    counts = counts.join(blocks_of.hint("merge"), "key").select("key", "_r", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    again = placed.join(counts.hint("merge"), ["key", "_i"])
     over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     every = again.withColumn("_j", over("_r"))
     left = again.join(rest.hint("merge"), ["key", "doc_id"], "left_semi").withColumn("_j", F.pmod(F.xxhash64("doc_id"), F.col("_r")).cast("int")).drop("_i").withColumn("_i", over("_n"))
