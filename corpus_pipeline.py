@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sunstack.llm import decontaminate, minhash, packing, quality, substring
 from sunstack.llm.queries import tokenizer
-from sunstack.llm.scratch import dropping, table
+from sunstack.llm.scratch import dropping, give_back, table
 from sunstack.llm.tables import load
 
 #: Hashed multinomials, tokens and packing have no SQL form; tests hold the stages against plain versions.
@@ -43,6 +43,7 @@ def _without(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     made = quality.PRODUCTION
+    give_back(spark)  # this stage's plan is the largest text in the driver
     trusted = quality.trusted_ids(load(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
     weight = quality.weights(docs, trusted, buckets=made["buckets"], orders=made["orders"], digits=made["digits"])
     return quality.kept_rows(docs, weight, orders=made["orders"])
