@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from sunstack.operators import windows
+from sunstack.operators import matching, windows
+from sunstack.queries import QUERIES
 
 
 def filled(df) -> int:
@@ -20,3 +25,28 @@ def test_range_join_of_one_bucket_fills_many_tasks(spark):
     assert filled(out) > 4
     want = sorted((i, k) for i in range(300) for k in range(40) if 0.25 <= i % 3 * 0.5 <= k % 2 + 0.5)
     assert sorted((r.id, r.k) for r in out.collect()) == want
+
+
+def test_nearest_vectors_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(matching, "SEARCH_BLOCK", 16)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 5)).round(1)
+    v[40:60] = v[7]  # copies: the smallest other id wins
+    v[99, 2] = np.nan
+    rows = [(i, int(i >= 100), v[i].tolist() if i != 50 else None) for i in range(120)] + [(500, 9, [1.0] * 5)]
+    f = spark.createDataFrame(rows, "id long, key int, v array<double>").coalesce(1)
+    a, b = f.where("id % 2 = 0"), f.select("key", F.col("id").alias("other"), F.col("v").alias("w"))
+    out = matching.nearest_vectors(a, b, ["key"], "id", "other", "v", "w")
+    want = {}
+    for i, k, x in rows:
+        near = [(reduce(add, ((p - q) * (p - q) for p, q in zip(x, y, strict=True)), 0.0), j) for j, h, y in rows if j != i and h == k and y] if x and i % 2 == 0 else []
+        near = [n for n in near if n[0] == n[0]]
+        if near:
+            want[i] = min(near)
+    assert {r.id: (r.d, r.other) for r in out.collect()} == want
+
+
+def test_nearest_match_makes_no_row_for_each_pair(spark):
+    plan = QUERIES["nearest_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "CoGroup" in plan.replace("FlatMapCoGroups", "CoGroup")
