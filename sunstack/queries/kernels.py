@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..kernels import fourier, images, linalg, special, zernike
 from ..operators import job, mosaic, reconstruct, sums
 from ..sources import files
-from ..sources.tables import frames, load, pixels
+from ..sources.tables import frames, load, pixels, spread
 from ..streaming import ingest
 from .frames import CHECKED, FR, PX, YX
 
@@ -161,22 +161,23 @@ def linear_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 x 2 systems solved by elimination, by triangles and by pivoted reflections, which have to agree."""
     @F.pandas_udf("array<double>")
     def solve(v: pd.Series) -> pd.Series:
-        def one(row) -> list[float]:
-            a, b = np.array(row[:4], float).reshape(2, 2), np.array(row[4:], float)
-            x = linalg.gauss_jordan(a, b)
-            order, low, up = linalg.lu(a)
-            y = np.linalg.solve(up, np.linalg.solve(low, b[order]))
-            q, r, columns, rank = linalg.pivoted_qr(a)
-            z = np.empty(2)
-            z[columns] = np.linalg.solve(r, q.T @ b)
-            if not (np.allclose(x, y) and np.allclose(x, z)):
-                raise ValueError("solvers disagree")
-            return [*x, abs(up[0, 0] * up[1, 1]), rank, linalg.gauss_jordan(a, np.eye(2))[0, 0]]
-
-        return v.map(one)
+        if not len(v):
+            return v
+        rows = np.stack([np.asarray(row, float) for row in v])
+        a, b = rows[:, :4].reshape(-1, 2, 2), rows[:, 4:, None]
+        x = linalg.gauss_jordan_all(a, b)
+        order, low, up = linalg.lu_all(a)
+        y = np.linalg.solve(up, np.linalg.solve(low, np.take_along_axis(b, order[:, :, None], axis=1)))
+        q, r, columns, rank = linalg.pivoted_qr_all(a)
+        z = np.empty(b.shape)
+        np.put_along_axis(z, columns[:, :, None], np.linalg.solve(r, q.transpose(0, 2, 1) @ b), axis=1)
+        if not (np.allclose(x, y) and np.allclose(x, z)):
+            raise ValueError("solvers disagree")
+        inverse = linalg.gauss_jordan_all(a, np.tile(np.eye(2), (len(a), 1, 1)))
+        return pd.Series(list(np.column_stack((x[:, :, 0], np.abs(up[:, 0, 0] * up[:, 1, 1]), rank, inverse[:, 0, 0]))))
 
     k, s, p = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    v = load(spark, sf_dir, "part").select("p_partkey", solve(F.array((s + 3.0), (k % 7 - 3.0), (k % 5 + 1.0), (s * -0.5 - 9), p / 101, p / 301 - 2)).alias("v"))
+    v = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", solve(F.array((s + 3.0), (k % 7 - 3.0), (k % 5 + 1.0), (s * -0.5 - 9), p / 101, p / 301 - 2)).alias("v"))
     six = lambda i: F.round(F.get("v", i), 6) + 0.0
     return v.select("p_partkey", six(0).alias("x"), six(1).alias("y"), six(2).alias("det"), F.get("v", 3).cast("int").alias("rank"), six(4).alias("inv_a"))
 
