@@ -188,18 +188,19 @@ def optima(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed minima of parabolas, central differences, and small linear programmes by both pivot rules."""
     @F.pandas_udf("array<double>")
     def run(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-        def one(a: float, b: float, k: float) -> list[float]:
-            f = lambda x: (x - a) ** 2 + b
-            at, least = linalg.brent(f, *linalg.bracket(f, 0.0, 0.5))
-            j = linalg.jacobian(lambda v: np.array([v[0] * v[1], v[0] ** 2 - v[1]]), np.array([a, b]))
-            best = [linalg.simplex(np.array([3.0, 2.0]), np.array([[1.0, 1.0], [1.0, 3.0], [1.0, 0.0]]), np.array([4.0 + k, 6.0 + k, 3.0]), rule)[1] for rule in ("bland", "dantzig")]
-            if abs(best[0] - best[1]) > 1e-9:
-                raise ValueError("pivot rules disagree")
-            return [at, least, j[0, 0], j[1, 0], best[0]]
-
-        return pd.Series([one(*row) for row in zip(a, b, k, strict=True)])
-
-    v = load(spark, sf_dir, "part").select("p_partkey", run(F.col("p_size") / 10.0 - 2, F.col("p_retailprice") / 1001, F.col("p_partkey") % 6 / 2.0).alias("v"))
+        if not len(a):
+            return a
+        a, b, k = (v.to_numpy(float) for v in (a, b, k))
+        f = lambda x: (x - a) ** 2 + b
+        at, least = linalg.brent_all(f, *linalg.bracket_all(f, np.zeros(len(a)), np.full(len(a), 0.5)))
+        j = linalg.jacobian(lambda v: np.stack([v[0] * v[1], v[0] ** 2 - v[1]]), np.stack([a, b]))
+        right = np.column_stack((4.0 + k, 6.0 + k, np.full(len(k), 3.0)))
+        best = [linalg.simplex_all(np.array([3.0, 2.0]), np.array([[1.0, 1.0], [1.0, 3.0], [1.0, 0.0]]), right, rule)[1] for rule in ("bland", "dantzig")]
+        if (np.abs(best[0] - best[1]) > 1e-9).any():
+            raise ValueError("pivot rules disagree")
+        return pd.Series(list(np.column_stack((at, least, j[0, :, 0], j[1, :, 0], best[0]))))
+
+    v = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", run(F.col("p_size") / 10.0 - 2, F.col("p_retailprice") / 1001, F.col("p_partkey") % 6 / 2.0).alias("v"))
     out = lambda i, n: F.round(F.get("v", i), n) + 0.0
     return v.select("p_partkey", out(0, 4).alias("at"), out(1, 6).alias("least"), out(2, 3).alias("dxy"), out(3, 3).alias("dxx"), out(4, 6).alias("best"))
 
