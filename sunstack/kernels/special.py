@@ -19,18 +19,18 @@ def faddeeva(z: np.ndarray, terms: int = 32) -> np.ndarray:
     return 2 * np.polyval(a, w) / (size - 1j * z) ** 2 + (1 / np.sqrt(np.pi)) / (size - 1j * z)
 
 
-def faraday_voigt(x: np.ndarray, damping: float) -> tuple[np.ndarray, np.ndarray]:
+def faraday_voigt(x: np.ndarray, damping: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Voigt profile and Faraday-Voigt function of reduced frequency x for a damping >= 0."""
     w = faddeeva(np.asarray(x, float) + 1j * damping)
     return w.real, w.imag
 
 
-def structure_function(r: np.ndarray, r0: float) -> np.ndarray:
+def structure_function(r: np.ndarray, r0: float | np.ndarray) -> np.ndarray:
     """Kolmogorov phase structure function."""
     return 6.883877 * (np.abs(r) / r0) ** (5.0 / 3.0)
 
 
-def long_exposure(q: np.ndarray, alpha: float) -> np.ndarray:
+def long_exposure(q: np.ndarray, alpha: float | np.ndarray) -> np.ndarray:
     """Long-exposure transfer at frequency q (1 at the cut-off) for alpha = r0 / D: telescope times atmosphere."""
     q = np.clip(np.abs(q), 0, 1)
     telescope = 2 / np.pi * (np.arccos(q) - q * np.sqrt(1 - q * q))

@@ -128,9 +128,10 @@ FROM (SELECT p_partkey, (p_partkey % 101) / 100.0::DOUBLE AS q, p_size / 50.0::D
 def long_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def both(q: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([[special.long_exposure(np.array([x]), y)[0], special.structure_function(np.array([x]), y)[0]] for x, y in zip(q, a, strict=True)])
+        q, a = q.to_numpy(float), a.to_numpy(float)
+        return pd.Series(list(np.column_stack((special.long_exposure(q, a), special.structure_function(q, a)))))
 
-    p = load(spark, sf_dir, "part").select("p_partkey", both((F.col("p_partkey") % 101) / 100.0, F.col("p_size") / 50.0 + 0.05).alias("v"))
+    p = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", both((F.col("p_partkey") % 101) / 100.0, F.col("p_size") / 50.0 + 0.05).alias("v"))
     return p.select("p_partkey", F.round(F.get("v", 0), 8).alias("transfer"), F.round(F.get("v", 1), 5).alias("structure"))
 
 

@@ -11,7 +11,7 @@ from ..kernels import images, special
 from ..operators import reconstruct
 from ..plans import config
 from ..sources import fits, pointing
-from ..sources.tables import frames, load
+from ..sources.tables import frames, load, spread
 from .frames import FR
 from .kernels import _bilinear, _cells, rounded
 
@@ -102,7 +102,7 @@ SELECT p_partkey, round(sum(0.04 * a / pi() * exp(-y * y) / ((x - y) * (x - y) +
 def line_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def both(x: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([[float(v[0]) for v in special.faraday_voigt(np.array([p]), q)] for p, q in zip(x, a, strict=True)])
+        return pd.Series(list(np.column_stack(special.faraday_voigt(x.to_numpy(float), a.to_numpy(float)))))
 
     p = load(spark, sf_dir, "part").select("p_partkey", both(F.col("p_size") % 12 / 4.0, 0.5 + (F.col("p_partkey") % 10) / 5.0).alias("v"))
     return p.select("p_partkey", F.round(F.get("v", 0), 6).alias("voigt"), (F.round(F.get("v", 1), 6) + 0.0).alias("faraday"))
