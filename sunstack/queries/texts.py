@@ -66,7 +66,7 @@ def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(_JOB.replace("{{", "{").replace("}}", "}"))
     for name, v in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), v.cast("string"))
-    p = load(spark, sf_dir, "part").select("p_partkey", parse(text).alias("j"))
+    p = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", parse(text).alias("j"))
     return p.select("p_partkey", *[F.round(f"j.{c}", n).alias(c) if (n := {"wavelength": 2, "focal": 6}.get(c)) else F.col(f"j.{c}").alias(c) for c in (x.split()[0] for x in schema.split(", "))])
 
 
