@@ -143,7 +143,7 @@ SELECT channel, frame_no, format, kind, packed, 8::INT AS h, 8::INT AS w, 'frame
 list_transform(px, lambda v: CASE kind WHEN 'f4' THEN v::FLOAT::DOUBLE WHEN 'f8' THEN v WHEN 'i2' THEN round_even(v * 1000, 0) ELSE round_even(v * 100000, 0) END) AS px FROM fr, k""")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame as the bytes of an ANA or FITS file of several types, raw and compressed, and back."""
-    f = frames(spark, sf_dir).withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
+    f = spread(frames(spark, sf_dir), "channel", "frame_no").withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
     out = None
     for kind, code, dtype, scale, bits, rice in (("ANA", "i2", "int16", 1e3, None, False), ("ANA", "i4", "int32", 1e5, None, False), ("ANA", "f4", "float32", 1.0, None, False), ("ANA", "f8", "float64", 1.0, None, False),
                                                  ("ANA", "i2", "int16", 1e3, 5, False), ("ANA", "i4", "int32", 1e5, 9, False), ("FITS", "i2", "int16", 1e3, None, False), ("FITS", "f4", "float32", 1.0, None, False), ("FITS", "i2", "int16", 1e3, None, True)):

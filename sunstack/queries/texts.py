@@ -104,7 +104,7 @@ def line_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def both(x: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series(list(np.column_stack(special.faraday_voigt(x.to_numpy(float), a.to_numpy(float)))))
 
-    p = load(spark, sf_dir, "part").select("p_partkey", both(F.col("p_size") % 12 / 4.0, 0.5 + (F.col("p_partkey") % 10) / 5.0).alias("v"))
+    p = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", both(F.col("p_size") % 12 / 4.0, 0.5 + (F.col("p_partkey") % 10) / 5.0).alias("v"))
     return p.select("p_partkey", F.round(F.get("v", 0), 6).alias("voigt"), (F.round(F.get("v", 1), 6) + 0.0).alias("faraday"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import ana, fits
 
 HEADER = "file string, format string, dims array<int>, element string, n_frames int, header string, cards array<string>, error string"
+#: pixels after which decoded images go on to the JVM
+BATCH_PIXELS = 1 << 19
 FRAMES = "file string, format string, frame_in_file int, h int, w int, px array<double>, header string, error string"
 
 
@@ -87,19 +89,25 @@ def decoded(contents: DataFrame, discard: tuple[int, int] = (0, 0)) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.string()]
         names = [x.split()[0] for x in FRAMES.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in batches:
+            rows, pixels = [], 0
             for file, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                rows: list[tuple] = []
                 try:
                     px, kind, text, _ = decode(content)
                     cube = px if px is not None and px.ndim == 3 else None if px is None else px.reshape(1, *px.shape[-2:])
                     n = 0 if cube is None else len(cube)
                     first, last = discard if n > 1 else (0, 0)
-                    rows = [(file, kind, i, cube.shape[1], cube.shape[2], cube[i].astype(float).ravel(), text, None) for i in range(first, n - last)]
+                    rows += [(file, kind, i, cube.shape[1], cube.shape[2], cube[i].astype(float).ravel(), text, None) for i in range(first, n - last)]
+                    pixels += 0 if cube is None else cube.size
                 except (ValueError, KeyError) as e:
-                    rows = [(file, None, None, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows.append((file, None, None, None, None, None, None, str(e)))
+                if pixels >= BATCH_PIXELS:
+                    if rows:
+                        yield made(rows)
+                    rows, pixels = [], 0
+            if rows:
+                yield made(rows)
 
     return contents.select("path", "content").mapInArrow(run, FRAMES)
 
